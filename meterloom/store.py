@@ -125,6 +125,10 @@ class UsageStore:
         kept = prune((manifest or self.manifest).raw(), from_ms, to_ms, accounts, filters, self._buckets(accounts))
         return self._segments(kept, RAW_SCHEMA, RAW_COLUMNS).unionByName(self.staged())
 
+    def published_events(self) -> DataFrame:
+        """Raw events of segments, without what is staged."""
+        return self._segments(self.manifest.raw(), RAW_SCHEMA, RAW_COLUMNS)
+
     def rollup_rows(self, from_ms: int = MIN_MS, to_ms: int = MAX_MS, accounts=None, filters=(), manifest: Manifest | None = None) -> DataFrame:
         kept = prune((manifest or self.manifest).rollups(), from_ms, to_ms, accounts, filters, self._buckets(accounts))
         return self._segments(kept, ROLLUP_SCHEMA, _ROLLUP)
