@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)]
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids += end
                 n = len(ids) // 4
                 at = [0, *range(n % capacity or capacity, n, capacity), n]

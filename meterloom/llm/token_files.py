@@ -150,7 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(attempt)
                 writer = FrameWriter(out, frame_bytes)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 writer.add(doc_id, ids + end)
                 n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4 + 1
         if writer is not None:

@@ -1,31 +1,37 @@
 """Whole-text encoding with a public tokenizer file, made fast by a bounded cache.
 
-A byte-level BPE with the usual split pattern never joins what stands before a
-space to what stands after it, if the character before the space isn't white
-space.  So texts are cut there, each distinct chunk is encoded once a worker by
-the tokenizers library, and the ids of a text are those of its chunks.
+The split pattern of a byte-level BPE never joins what stands before a single
+space or line end to what stands after it, nor a letter to a comma or full stop
+after it.  So a text without runs of white space is cut there, each distinct word
+is encoded once a worker by the tokenizers library, and the ids of a text are
+those of its words in a row, gathered with numpy.  Other texts are encoded as
+they are.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: A white-space character before a space: then a text is cut by the slower rule.
-_ODD = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
-#: Chunks that a worker remembers (about 200 bytes each).
-CACHE_CHUNKS = 600_000
-#: Longer chunks (blobs without spaces) aren't remembered.
+#: Runs of white space, white space other than spaces and line ends, and NUL (a mark below): such texts aren't cut.
+_ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Words that a worker remembers (about 200 bytes each).
+CACHE_WORDS = 1_400_000
+#: Longer words (blobs without spaces) aren't remembered.
 CACHE_LENGTH = 64
-_JOIN = 256
+#: Characters of texts that are encoded at a time.
+SLICE = 8 << 20
+_JOIN = 64
 
 
 class TextEncoder:
-    """``encode(texts)`` gives the little-endian unsigned 32-bit ids of each whole text."""
+    """``encode(texts)`` gives the little-endian unsigned 32-bit ids of each whole text.
+
+    The cache's keys are words as they stand after a space, ``"\\n"`` and a word as
+    it stands after a line end, and NUL and a word that begins a text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,46 +46,89 @@ class TextEncoder:
         mark = self.tokenizer.id_to_token(int(space[0]))[0] if len(space) == 1 else "Ġ"
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith(mark)
+        self.marks = {m: self._ids(m).tobytes() for m in ",."}
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the same ids, without places in the text
+        return [np.array(x.ids, dtype="<u4") for x in fast(texts, add_special_tokens=False)]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self._batch([text])[0]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are new, many in one call; each starts with the only space it has."""
-        for k in range(0, len(chunks), _JOIN):
-            some = chunks[k : k + _JOIN]
-            ids = self._ids("".join(some))
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words that stood after a space, many in one call; each begins at a token that opens with its only space."""
+        groups = [words[k : k + _JOIN] for k in range(0, len(words), _JOIN)]
+        for some, ids in zip(groups, self._batch([" " + " ".join(g) for g in groups])):
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(some) and starts[0] == 0:
                 raw, at = ids.tobytes(), (starts * 4).tolist()
-                for chunk, a, b in zip(some, at, [*at[1:], len(raw)]):
-                    self.cache[chunk] = raw[a:b]
-            else:
-                for chunk in some:
-                    self.cache[chunk] = self._ids(chunk).tobytes()
-
-    def _chunks(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text as bytes (null: none), in order."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+                for word, a, b in zip(some, at, [*at[1:], len(raw)]):
+                    self.cache[word] = raw[a:b]
+
+    def _fill(self, new: list[str]) -> None:
+        """Put words into the cache; those that end in a comma or full stop after a letter are made of two parts."""
+        marked = [w for w in new if w[-1] in self.marks and w[-2:-1].isalpha()]
+        stems = {w[:-1] for w in marked}.union(new).difference(marked)
+        stems = [w for w in stems if w not in self.cache]
+        self._learn([w for w in stems if w[0] not in "\n\0" and len(w) <= CACHE_LENGTH])
+        rest = [w for w in stems if w not in self.cache]
+        alone = [w if w[0] == "\n" else w[1:] if w[0] == "\0" else " " + w for w in rest]
+        for w, ids in zip(rest, self._batch(alone)):
+            self.cache[w] = ids.tobytes()
+        for w in marked:
+            self.cache[w] = self.cache[w[:-1]] + self.marks[w[-1]]
+
+    def _cut(self, texts) -> Iterator[bytes]:
+        """Ids of texts (an Arrow array, no nulls, none odd or empty)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\0", texts.type), texts, pa.scalar("", texts.type)), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")
+        words = lists.flatten().dictionary_encode()
+        known = words.dictionary.to_pylist()
         cache = self.cache
-        split = [self._chunks(x) if x else [] for x in texts]
-        new = {x for chunks in split for x in chunks if x not in cache}
-        plain = [x for x in new if len(x) <= CACHE_LENGTH and x[0] == " " and " " not in x[1:] and len(x) > 1]
-        self._learn(plain)
-        for x in new.difference(plain):
-            cache[x] = self._ids(x).tobytes()
-        for chunks in split:
-            yield b"".join([cache[x] for x in chunks])
-        for x in new:
-            if len(x) > CACHE_LENGTH:
-                cache.pop(x, None)
+        new = [w for w in known if w not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = known
+        self._fill(new)
+        parts = [cache[w] for w in known]
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                cache.pop(w, None)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        index = words.indices.to_numpy()
+        count = sizes[index]
+        ends = np.cumsum(count)
+        from_pool = (np.cumsum(sizes) - sizes)[index] - (ends - count)
+        ids = pool[np.repeat(from_pool, count) + np.arange(int(ends[-1]))]
+        stops = ends[lists.offsets.to_numpy()[1:] - lists.offsets.to_numpy()[0] - 1].tolist()
+        at = 0
+        for stop in stops:
+            yield ids[at:stop].tobytes()
+            at = stop
+
+    def encode(self, texts) -> Iterator[bytes]:
+        """Ids of each text as bytes (null: none), in order; ``texts`` is a list or an Arrow array of strings."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        begin, size = 0, 0
+        lengths = pc.binary_length(texts).to_pylist()
+        for k, n in enumerate([*lengths, 0]):
+            if k > begin and (size + n > SLICE or k == len(lengths)):
+                part = texts.slice(begin, k - begin)
+                plain = pc.and_not(pc.greater(pc.binary_length(part), 0), pc.match_substring_regex(part, _ODD))
+                kept = part.filter(plain)
+                cut = self._cut(kept) if len(kept) else iter(())
+                for flag, i in zip(plain.to_pylist(), range(begin, k)):
+                    yield next(cut) if flag else self._ids(texts[i].as_py()).tobytes() if lengths[i] else b""
+                begin, size = k, 0
+            size += n
 
 
 _held: dict[str, TextEncoder] = {}
