@@ -61,5 +61,42 @@ def queries():
     return {f.__name__: f for f in (op1_substring_dedup, op2_simhash_components, op3_pack_sequences, op4_line_dedup, op5_quality_rules, op6_token_files, op7_secret_scan, op8_warc_round_trip, op9_decontaminate, op10_url_filter)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP1 = f"""
+with a as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
+b as (select doc_id, raw, list_transform(raw, lambda r: trim(regexp_replace(lower(r), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) as norm from a where text is not null),
+c as (select doc_id, i as line, norm[i] as m, case when i > 1 then norm[i - 1] else '' end as p, case when i < len(norm) then norm[i + 1] else '' end as f from (select doc_id, norm, unnest(range(1, len(norm) + 1)) as i from b)),
+d as (select *, case when m = '' then 0 else len(string_split(m, ' ')) end as n, case when p = '' then 0 else len(string_split(p, ' ')) end as np, case when f = '' then 0 else len(string_split(f, ' ')) end as nf from c),
+u as (select doc_id, line, 0 as kind, m as g from d where n >= {substring_dedup.LEAST_WORDS}
+  union all select doc_id, line, 1, p || chr(10) || m from d where n > 0 and n < {substring_dedup.LEAST_WORDS} and np > 0 and n + np >= {substring_dedup.LEAST_WORDS}
+  union all select doc_id, line, 2, m || chr(10) || f from d where n > 0 and n < {substring_dedup.LEAST_WORDS} and nf > 0 and n + nf >= {substring_dedup.LEAST_WORDS}),
+r as (select doc_id, line, row_number() over (partition by kind, g order by doc_id, line) as k from u),
+gone as (select doc_id, list(distinct line) as lines from r where k > 1 group by 1),
+flat as (select a.doc_id, a.raw, a.text, coalesce(lines, []) as lines from a left join gone using (doc_id)),
+places as (select doc_id, i, raw[i] as piece, list_contains(lines, i) as out, coalesce(sum(length(raw[i]) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from (select *, unnest(range(1, len(raw) + 1)) as i from flat))
+select doc_id, string_agg(piece, chr(10) order by i) filter (not out) as kept, count(*) filter (out) as n_removed, coalesce(string_agg(cast(pos as bigint) || ':' || cast(pos + length(piece) as bigint), ',' order by i) filter (out), '') as removed from places group by doc_id"""
+
+_OP8 = f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select page_id, h, strlen(h) as n, min(page_id) over (partition by h) as least from p)
+select page_id, cast(n as bigint) as payload_bytes, sha256(h) as payload_digest, case when n >= {warc.LEAST_REVISIT} and page_id > least then 'revisit' else 'response' end as record_type,
+  case when n >= {warc.LEAST_REVISIT} and page_id > least then least end as refers_to from f"""
+
+_OP9 = f"""
+with i as (select item_id, {_WORDS} as w from benchmark),
+v as (select distinct item_id, least({WINDOW}, len(w)) as n, array_to_string(w[k : k + least({WINDOW}, len(w)) - 1], ' ') as g from (select *, unnest(range(1, greatest(1, len(w) - {WINDOW} + 1) + 1)) as k from i where len(w) > 0)),
+d as (select doc_id, {_WORDS} as w from documents),
+g as (select doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from v))),
+h as (select doc_id, k, n, item_id from g join v using (n, g)),
+words as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(k, k + n)) as x from h) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as s from (select distinct doc_id, cast(item_id as varchar) as x from h) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)"""
+
+
 def oracle_sql():
-    return {}
+    """SQL of the operators that it can express."""
+    op1 = f"select doc_id, case when documents.text is null then null else coalesce(kept, '') end as text, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed from documents left join ({_OP1}) using (doc_id)"
+    return {"op1_substring_dedup": op1, "op8_warc_round_trip": _OP8, "op9_decontaminate": _OP9}

@@ -60,22 +60,23 @@ def dedup_substrings(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFra
     columns pass through; an empty table gives no rows.
     """
     names = docs.columns
-    gone = removed_units(docs, least_words)
+    row, text0, lines, lost = (fresh(names, x) for x in ("row0", "text0", "lines0", "lost0"))
+    gone = removed_units(docs, least_words).withColumnRenamed("removed", lost)
     text = F.col("text").cast("string")
-    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("d0"), text.alias("text0"), F.xxhash64(text).alias("t0"))
+    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col("doc_id").alias("d0"), text.alias(text0), F.xxhash64(text).alias("t0"))
     joined = key.join(gone, key["d0"].eqNullSafe(gone["d"]) & (key["t0"] == gone["t"]), "left")
-    joined = joined.withColumn("lines0", F.when(F.col("removed").isNotNull(), F.split("text0", "\n", -1)))
-    flags = F.transform(F.col("lines0"), lambda x, i: F.struct(F.length(x).cast("long").alias("n"), F.array_contains("removed", i).alias("gone")))
+    joined = joined.withColumn(lines, F.when(F.col(lost).isNotNull(), F.split(text0, "\n", -1)))
+    flags = F.transform(F.col(lines), lambda x, i: F.struct(F.length(x).cast("long").alias("n"), F.array_contains(lost, i).alias("gone")))
     spans = F.aggregate(
         flags,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda s, x: F.struct((s["at"] + x["n"] + 1).alias("at"), F.when(x["gone"], F.concat(s["out"], F.array(F.concat_ws(":", s["at"].cast("string"), (s["at"] + x["n"]).cast("string"))))).otherwise(s["out"]).alias("out")),
         lambda s: F.array_join(s["out"], ","),
     )
-    kept = F.array_join(F.filter("lines0", lambda x, i: ~F.array_contains("removed", i)), "\n")
-    cleaned = F.when(F.col("removed").isNull(), F.col("text0")).otherwise(kept)
-    out = [cleaned.alias("text") if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in names]
-    return joined.select(*out, F.coalesce(F.size("removed").cast("long"), F.lit(0).cast("long")).alias(fresh(names, "n_removed")), F.coalesce(spans, F.lit("")).alias(fresh(names, "removed")))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n")
+    cleaned = F.when(F.col(lost).isNull(), F.col(text0)).otherwise(kept)
+    out = [cleaned.alias("text") if c.lower() == "text" else F.col(row).getField(c).alias(c) for c in names]
+    return joined.select(*out, F.coalesce(F.size(lost).cast("long"), F.lit(0).cast("long")).alias(fresh(names, "n_removed")), F.coalesce(spans, F.lit("")).alias(fresh(names, "removed")))
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
