@@ -10,7 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from .periods import format_time, parse_time
-from .service import UsageService, serve, to_json
+from .service import UsageService, Workers, serve, to_json
 from .sources.export import export_parquet
 from .store import UsageStore
 
@@ -63,11 +63,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             case "tick":
                 show({"segments": store.tick(), "watermark_ms": store.manifest.watermark_ms})
             case _:
-                server = serve(UsageService(store), getattr(args, "host", "127.0.0.1"), getattr(args, "port", 8080))
+                service = UsageService(store)
+                workers = Workers(service)
+                server = serve(service, getattr(args, "host", "127.0.0.1"), getattr(args, "port", 8080))
                 try:
                     server.serve_forever()
                 except KeyboardInterrupt:
                     server.server_close()
+                finally:
+                    workers.stop()
         return 0
     except (ValueError, KeyError, RuntimeError) as error:
         print(f"error: {error}", file=sys.stderr)

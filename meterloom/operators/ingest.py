@@ -61,6 +61,8 @@ def classify(batch: DataFrame, index: DataFrame | None = None, now_ms: int | Non
     if index is not None:
         if now_ms is not None:
             index = index.where(F.col("ingested_at_ms") >= now_ms - ttl_ms)
+        # only the batch's ids matter: a batch that is small is broadcast, and then the index isn't shuffled
+        index = index.join(rows.select("event_id").distinct(), "event_id", "left_semi")
         held = index.groupBy("event_id").agg(F.min_by("payload_hash", F.struct("ingested_at_ms", "payload_hash")).alias("held"))
         first = first.join(held, "event_id", "left")
     else:

@@ -22,6 +22,27 @@ _FILTER_NAMES = {"product": "product_id", "meter": "meter_id", "model": "model_i
 _GROUP_NAMES = {"product": "product_id", "meter": "meter_id", "model": "model_id", "subscription": "subscription_id", "account": "account_id", "hour": "hour_start_ms"}
 
 
+class Workers:
+    """Background ticks of rollups and compaction over one service, until ``stop``."""
+
+    def __init__(self, service: UsageService, tick_s: float = 30, compact_s: float = 60):
+        self._stop = threading.Event()
+        jobs = ((service.store.tick, tick_s), (service.store.compact, compact_s))
+        self._threads = [threading.Thread(target=self._run, args=(service, f, s), daemon=True) for f, s in jobs]
+        for t in self._threads:
+            t.start()
+
+    def _run(self, service, job, every_s):
+        while not self._stop.wait(every_s):
+            with service._write:
+                job()
+
+    def stop(self) -> None:
+        self._stop.set()
+        for t in self._threads:
+            t.join()
+
+
 def to_json(value):
     """Rows and nested values as JSON; decimals as text."""
     if isinstance(value, Decimal):

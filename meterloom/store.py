@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import Catalog, ClosedPeriod, Manifest, Replacement, SegmentMeta, prune
+from .catalog import Catalog, ClosedPeriod, DedupeIndex, Manifest, Replacement, SegmentMeta, prune
 from .functions.expressions import bucket_of
 from .operators import audit, ingest, rollup
 from .periods import period_bounds
@@ -26,6 +26,7 @@ from .plans.sql import parse_sql
 from .schema import CANONICAL_ORDER, HOUR_MS, RAW_COLUMNS, RAW_SCHEMA, ROLLUP_SCHEMA
 
 _ROLLUP = ROLLUP_SCHEMA.fieldNames()
+_INDEX = "event_id string, payload_hash string, ingested_at_ms long"
 
 
 def _now_ms() -> int:
@@ -41,11 +42,12 @@ class UsageStore:
     ``fast`` keeps it in the session until the flush.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, durability: str = "strict", safety_lag_ms: int = 60_000, compaction_trigger: int = 16, grace_ms: int = 30_000, max_staged_age_ms: int = 60_000):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, durability: str = "strict", safety_lag_ms: int = 60_000, compaction_trigger: int = 16, grace_ms: int = 30_000, max_staged_age_ms: int = 60_000, flush_bytes: int = 64 << 20):
         if durability not in ("strict", "fast"):
             raise ValueError(f"durability is strict or fast, not {durability!r}")
         self.spark, self.root, self.durability = spark, root, durability
         self.safety_lag_ms, self.compaction_trigger, self.grace_ms, self.max_staged_age_ms = safety_lag_ms, compaction_trigger, grace_ms, max_staged_age_ms
+        self.flush_bytes = flush_bytes
         os.makedirs(root, exist_ok=True)
         self.catalog = Catalog(root, buckets)
         self._fast: list[DataFrame] = []
@@ -166,7 +168,7 @@ class UsageStore:
         try:
             checked = self.spark.read.parquet(path)
             valid = checked.where("reject_reason is null").drop("reject_reason")
-            index = ingest.dedupe_index(self.raw_events())
+            index = self.dedupe_index(now_ms - ingest.DEDUPE_TTL_MS)
             classified_path = path + "-classified"
             ingest.classify(valid, index, now_ms).write.parquet(classified_path)
             classified = self.spark.read.parquet(classified_path)
@@ -180,8 +182,16 @@ class UsageStore:
             shutil.rmtree(path, ignore_errors=True)
             if not self._fast:
                 shutil.rmtree(path + "-classified", ignore_errors=True)
+        if sum(os.path.getsize(os.path.join(p, f)) for p in self._staged_paths() for f in os.listdir(p)) > self.flush_bytes:
+            self.flush()
         return {"accepted": counts.get("new", 0), "duplicates": counts.get("duplicate", 0), "conflicts": counts.get("conflict", 0), "rejected": rejected}
 
+    def dedupe_index(self, since_ms: int) -> DataFrame:
+        """Ids and digests of events ingested since then: the narrow tables of flushes that are recent enough, and what is staged."""
+        paths = [x.path for x in self.manifest.indexes if x.max_ingested_ms >= since_ms]
+        staged = ingest.dedupe_index(self.staged())
+        return self.spark.read.schema(_INDEX).parquet(*paths).unionByName(staged) if paths else staged
+
     def _stage(self, events: DataFrame, now_ms: int) -> None:
         if self.durability == "strict":
             events.write.parquet(self._path("staging", uuid.uuid4().hex))
@@ -211,10 +221,13 @@ class UsageStore:
             return 0
         folder = f"flush-{self.manifest.generation + 1:06d}-{uuid.uuid4().hex[:8]}"
         made = self._write_segments(self.staged(), folder)
+        index = self._path("dedupe", folder)
+        ingest.dedupe_index(self.staged()).sortWithinPartitions("event_id").write.option("compression", "zstd").parquet(index)
+        newest = self.staged().agg(F.max("ingested_at_ms")).first()[0]
         for p in paths:
             with open(os.path.join(p, "_FLUSHED"), "w") as f:
                 f.write(folder)
-        self.catalog.commit(segments=(*self.manifest.segments, *made))
+        self.catalog.commit(segments=(*self.manifest.segments, *made), indexes=(*self.manifest.indexes, DedupeIndex(index, newest)))
         for p in paths:
             shutil.rmtree(p)
         self._fast, self._staged_since = [], None
@@ -309,6 +322,11 @@ class UsageStore:
         return {"compacted": merged, "removed": removed}
 
     def _sweep(self, now_ms: int) -> int:
+        stale = [x for x in self.manifest.indexes if x.max_ingested_ms < now_ms - ingest.DEDUPE_TTL_MS]
+        if stale:
+            self.catalog.commit(indexes=tuple(x for x in self.manifest.indexes if x not in stale))
+            for x in stale:
+                shutil.rmtree(x.path, ignore_errors=True)
         old = [r for r in self.manifest.replaced if r.committed_at_ms and r.committed_at_ms <= now_ms - self.grace_ms]
         if old:
             self.catalog.commit(replaced=tuple(r for r in self.manifest.replaced if r not in old))
