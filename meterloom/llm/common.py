@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -43,10 +44,26 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find what nothing refers to any more, so that Spark deletes its shuffle files and checkpoints and the heap shrinks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor takes nothing with it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return kept
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: a cut like ``durable``, for wide rows."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

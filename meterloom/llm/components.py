@@ -27,8 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges`` has two columns of longs.  Returns ``node, root``
-    with a row for every node that has an edge to another node; ``root`` is the
-    least node that can be reached.  Loops and repeated edges are ignored, null
+    with a row for every node that has an edge to another node, the least ones
+    included; ``root`` is the least node that can be reached.  Loops and repeated edges are ignored, null
     ends are dropped, and no edges give no rows.
     """
     a, b = edges.columns[:2]
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = durable(_star(large, larger_only=False).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
