@@ -110,7 +110,7 @@ def _walk(tree, features: dict[str, Column]) -> Column:
     return F.when(features[name] <= edge, _walk(below, features)).otherwise(_walk(above, features))
 
 
-def train(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.3, penalty: float = 1.0, max_labelled: int = MAX_LABELLED) -> UrlModel | None:
+def train(labelled: DataFrame, trees: int = 6, depth: int = 3, bins: int = 16, rate: float = 0.3, penalty: float = 1.0, max_labelled: int = MAX_LABELLED) -> UrlModel | None:
     """Fit trees to ``url, blocked`` (0 or 1); None if there aren't both labels.
 
     Rows with a null url or label are left out.  At most ``max_labelled`` rows are
@@ -134,23 +134,33 @@ def train(labelled: DataFrame, trees: int = 8, depth: int = 3, bins: int = 16, r
     rows = rows.select("y", *[v.alias(k) for k, v in features.items()])
     edges = rows.agg(*[F.percentile(k, F.lit([(i + 1) / bins for i in range(bins - 1)])).alias(k) for k in features]).first().asDict()
     edges = {k: sorted(set(v)) for k, v in edges.items()}
-    binned = durable(rows.select("y", *[sum(((F.col(k) > e).cast("int") for e in edges[k]), F.lit(0)).alias(k) for k in features], *[F.col(k).alias(f"x_{k}") for k in features]))
-    raw = {k: F.col(f"x_{k}") for k in features}
+    # rows in the same bins are one row with a weight; the sample is bounded, so a single task holds it
+    features_binned = [sum(((F.col(k) > e).cast("int") for e in edges[k]), F.lit(0)).alias(k) for k in features]
+    binned = rows.select("y", *features_binned).groupBy("y", *features).agg(F.count("*").cast("double").alias("w"))
+    state = durable(binned.withColumn("margin", F.lit(prior)).coalesce(1))
     grown: list = []
-    margin = F.lit(prior)
     for _ in range(trees):
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-        state = binned.select("*", (p - F.col("y")).alias("g"), (p * (F.lit(1.0) - p)).alias("h"))
-        tree = _grow(state, list(features), edges, raw, depth, rate, penalty)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+        slopes = state.select(*features, (F.col("w") * (p - F.col("y"))).alias("g"), (F.col("w") * p * (F.lit(1.0) - p)).alias("h"))
+        tree = _grow(slopes, list(features), edges, depth, rate, penalty)
         if isinstance(tree, float) and abs(tree) < 1e-9:
             break
-        grown.append(tree)
-        margin = margin + _walk(tree, raw)
+        grown.append(_at_edges(tree, edges))
+        state = durable(state.withColumn("margin", F.col("margin") + _walk(tree, {k: F.col(k) for k in features})))
     return UrlModel(prior, suffixes, tuple(grown))
 
 
-def _grow(state: DataFrame, names: list[str], edges: dict, raw: dict, depth: int, rate: float, penalty: float):
-    """One tree, level by level; an aggregation of at most nodes x features x bins rows a level."""
+def _at_edges(tree, edges: dict):
+    """A tree over bins as one over values."""
+    if isinstance(tree, float):
+        return tree
+    name, b, below, above = tree
+    return (name, float(edges[name][b]), _at_edges(below, edges), _at_edges(above, edges))
+
+
+def _grow(state: DataFrame, names: list[str], edges: dict, depth: int, rate: float, penalty: float):
+    """One tree over bins, level by level; an aggregation of at most nodes x features x bins rows a level."""
+    raw = {k: F.col(k) for k in names}
     splits: dict[str, tuple | float] = {}
     live = [""]
     for level in range(depth + 1):
@@ -170,14 +180,14 @@ def _grow(state: DataFrame, names: list[str], edges: dict, raw: dict, depth: int
             best = (1e-6, None)
             for k in names if level < depth else []:
                 left_g = left_h = 0.0
-                for b, edge in enumerate(edges[k]):
+                for b in range(len(edges[k])):
                     more = table[at][k].get(b, (0.0, 0.0))
                     left_g, left_h = left_g + more[0], left_h + more[1]
                     if left_h < 1.0 or h - left_h < 1.0:
                         continue
                     gain = left_g**2 / (left_h + penalty) + (g - left_g) ** 2 / (h - left_h + penalty) - g**2 / (h + penalty)
                     if round(gain, 6) > best[0]:
-                        best = (round(gain, 6), (k, float(edge)))
+                        best = (round(gain, 6), (k, b))
             if best[1] is None:
                 splits[at] = -rate * g / (h + penalty)
             else:
