@@ -120,6 +120,30 @@ def test_similar_lines_are_found_and_verified(spark):
         assert any(edit(lines[k].split(), lines[j].split()) <= 0.2 * 150 for j in range(len(lines)) if j != k)
 
 
+def test_edited_lines_of_ordinary_length_are_all_found(spark):
+    """Lines of 5 to 40 words with as many edits as similarity allows, or one more: groups are those of brute force."""
+    import random
+
+    dice = random.Random(11)
+    word = lambda: f"w{dice.randint(0, 300)}"
+    lines = []
+    for n in range(5, 41):
+        base = [word() for _ in range(n)]
+        lines.append(" ".join(base))
+        for more in (0, 1):
+            copy = base[:]
+            for _ in range(n // 5 + more):
+                k, kind = dice.randrange(len(copy)), dice.choice(["replace", "replace", "insert", "delete"])
+                copy[k : k + (kind != "insert")] = [] if kind == "delete" and len(copy) > 5 else [word()]
+            lines.append(" ".join(copy))
+    common = [word() for _ in range(12)]  # a crowded cell
+    lines += [" ".join([*common[:11], f"z{k}"]) for k in range(30)] + [" ".join([*common[:4], *(word() for _ in range(8))]) for _ in range(10)]
+    words = [x.split() for x in lines]
+    roots = components(set(range(len(lines))), lambda a, b: 5 * edit(words[a], words[b]) <= max(len(words[a]), len(words[b])))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
+    assert {r.d for r in line_dedup.removed_lines(docs).collect()} == {k for k, root in roots.items() if k != root}
+
+
 def slow_units(rows, least=10):
     """Units as the docstring has them, by plain loops."""
     seen, out = {}, {}
