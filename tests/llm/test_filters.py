@@ -82,6 +82,23 @@ def test_cutoffs_reject_junk_and_few_good_documents(spark):
     assert sum(not k for k in fine) <= quality.RISK * len(fine)
 
 
+def test_small_strata_get_cutoffs_too(spark, caplog):
+    """A language with some 200 held-out good documents beside a dominant one, and one with far too few."""
+    dice = random.Random(12)
+    rows, labels = [], []
+    for i in range(3000):
+        lang, good = ("en" if i % 5 else "de") if i >= 20 else "fr", i % 3 > 0
+        words = [f"{dice.choice('abcdefgh')}{dice.randint(0, 99999)}" for _ in range(60)]
+        rows.append((i, " ".join(words if good else [w + "###" if dice.random() < 0.6 else w for w in words]), lang))
+        labels.append((i, int(good)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int")
+    for options in ({}, {"max_labelled": 500}):
+        judged = quality.judge(docs, marked, **options).select("doc_id", "kept").collect()
+        bad, fine = ([r.kept for r in judged if rows[r.doc_id][2] == "de" and (r.doc_id % 3 > 0) == want] for want in (False, True))
+        assert sum(bad) <= 0.03 * len(bad) and sum(not k for k in fine) <= quality.RISK * len(fine)
+    assert "['fr']" in caplog.text
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(0, 10, 0.1), (3, 50, 0.05), (20, 400, 0.08), (7, 7, 0.3)]
     df = spark.createDataFrame(cases, "k long, n long, p double")
