@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, one machine), a temporary folder is
-    made once and becomes the session's checkpoint folder.
+    Where a session on one machine names none (tests), a temporary folder is
+    made once and becomes the session's checkpoint folder; a cluster must name one.
     """
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
@@ -35,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if held.isDefined():
         return held.get()
+    if not re.match(r"local($|\[)", context.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder; driver and executors must share one")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="meterloom-checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 

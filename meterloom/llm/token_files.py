@@ -10,8 +10,9 @@ skippable frames that any zstandard reader passes over::
                                     then number of frames u32, descriptor u8 (0x80), magic 0x8F92EAB1
 
 A reader takes the end of the file, finds the documents it was asked for and
-decompresses only their frames.  Files are written under a name of the
-attempt and then renamed, so a task that runs again leaves one whole file.
+decompresses only their frames.  Each attempt of a task writes a file of its own
+name, and the manifest lists the files of the attempts that counted; what a lost or a
+second attempt left is never read.
 """
 
 from __future__ import annotations
@@ -142,13 +143,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
         no, out, writer, n_docs, n_ids = TaskContext.get().partitionId(), None, None, 0, 0
         store, base = open_store(path)
-        name = f"{base}/part-{no:06d}.ids"
-        attempt, end = f"{name}.{uuid.uuid4().hex}.tmp", struct.pack("<I", end_id)
+        name, end = f"{base}/part-{no:06d}-{uuid.uuid4().hex}.ids", struct.pack("<I", end_id)
         encode = encoder(tokenizer).encode
         for batch in batches:
             if writer is None and batch.num_rows:
                 store.create_dir(base, recursive=True)
-                out = store.open_output_stream(attempt)
+                out = store.open_output_stream(name, compression=None)
                 writer = FrameWriter(out, frame_bytes)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 writer.add(doc_id, ids + end)
@@ -156,7 +156,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if writer is not None:
             writer.close()
             out.close()
-            store.move(attempt, name)
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([no], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     return durable(ordered.mapInArrow(write, "file_no int, file string, n_docs long, n_ids long"))

@@ -75,8 +75,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT) ->
     """Write a record for every row of ``pages`` (page_id, url, html) to files under ``path``; returns ``file, bytes, records``.
 
     Null html is an empty payload, a null url an empty target; other columns are
-    ignored; an empty table gives no files. A task writes one file under a name
-    of its attempt and then renames it.
+    ignored; an empty table gives no files. Each attempt of a task writes a file of
+    its own name; the manifest lists the files of the attempts that counted.
     """
     spark = pages.sparkSession
     python_ready(spark)
@@ -86,19 +86,18 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT) ->
         from pyspark import TaskContext
 
         store, base = open_store(path)
-        name = f"{base}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        attempt, out, size, n = f"{name}.{uuid.uuid4().hex}.tmp", None, 0, 0
+        name = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        out, size, n = None, 0, 0
         for batch in batches:
             if out is None and batch.num_rows:
                 store.create_dir(base, recursive=True)
-                out = store.open_output_stream(attempt)
+                out = store.open_output_stream(name, compression=None)
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 member = record(*row)
                 out.write(member)
                 size, n = size + len(member), n + 1
         if out is not None:
             out.close()
-            store.move(attempt, name)
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [n]})
 
     return durable(mark_revisits(pages, least_bytes).mapInArrow(write, "file string, bytes long, records long"))
@@ -122,16 +121,21 @@ class _Window:
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The content of a whole gzip member that starts here with a WARC header, and its end; None if there is none."""
+    """The content of a gzip member that starts here with a WARC header, and its end; None if none starts here.
+
+    What starts as a record and doesn't end as one is damaged and raises ValueError.
+    """
     unpack, out, here = zlib.decompressobj(31), [], at
     checked = False
     while not unpack.eof:
         raw = window.get(here, 1)
-        if not len(raw):
-            return None
         try:
+            if not len(raw):
+                raise zlib.error("the file ends")
             out.append(unpack.decompress(raw))
-        except zlib.error:
+        except zlib.error as error:
+            if checked:
+                raise ValueError(f"the record at {at} is damaged: {error}") from error
             return None
         here += len(raw) - len(unpack.unused_data)
         if not checked:
@@ -141,7 +145,19 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
                     return None
                 checked = True
     content = b"".join(out)
-    return (content, here) if content.startswith(b"WARC/1.") and b"\r\n\r\n" in content else None
+    if not checked:
+        return None
+    if b"\r\n\r\n" not in content:
+        raise ValueError(f"the record at {at} is damaged: its header has no end")
+    return content, here
+
+
+def _begins(window: _Window, at: int) -> bool:
+    """Whether a record starts here."""
+    try:
+        return zlib.decompressobj(31).decompress(bytes(window.get(at, 256)), 64).startswith(b"WARC/1.")
+    except zlib.error:
+        return False
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -155,23 +171,34 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def records_in(source, size: int, begin: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """``(place, content)`` of the records that start in ``[begin, end)``."""
-    window, at = _Window(source, begin, size), begin
+    """``(place, content)`` of the records that start in ``[begin, end)``.
+
+    Only the first one is searched for.  From there on each must
+    start where the last one ended, and one must start where the last of this range
+    ends, unless the file ends there: otherwise ValueError, so that no damaged record is
+    passed over.
+    """
+    window, at, sure = _Window(source, begin, size), begin, False
     while at < end:
-        raw = bytes(window.get(at, min(_CHUNK, end - at + 2)))
-        found = raw.find(GZIP_MAGIC)
-        if found < 0:
-            at += max(1, len(raw) - len(GZIP_MAGIC) + 1)
-            continue
-        at += found
-        if at >= end:
-            return
+        if not sure:
+            raw = bytes(window.get(at, min(_CHUNK, end - at + 2)))
+            found = raw.find(GZIP_MAGIC)
+            if found < 0:
+                at += max(1, len(raw) - len(GZIP_MAGIC) + 1)
+                continue
+            at += found
+            if at >= end:
+                return
         whole = _member(window, at)
-        if whole is None:
-            at += 1
-        else:
+        if whole is not None:
             yield at, whole[0]
-            at = whole[1]
+            at, sure = whole[1], True
+        elif sure:
+            raise ValueError(f"no record starts at {at}, where one should")
+        else:
+            at += 1
+    if sure and at < size and not _begins(window, at):
+        raise ValueError(f"no record starts at {at}, where one should")
 
 
 def read_warc(spark: SparkSession, files: DataFrame, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
@@ -180,7 +207,7 @@ def read_warc(spark: SparkSession, files: DataFrame, path: str, split_bytes: int
     Returns ``page_id, url, payload_bytes, payload_digest, record_type,
     refers_to`` and, if asked for, ``payload`` (null for revisits).  Digest and
     length of a response are computed from what was read; a mismatch with its
-    header fails the task.
+    header, a damaged record and a file of another size than listed fail the task.
     """
     python_ready(spark)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
@@ -204,6 +231,8 @@ def read_warc(spark: SparkSession, files: DataFrame, path: str, split_bytes: int
             for file, size, begin in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, held = [], 0
                 with store.open_input_file(file) as source:
+                    if source.size() != size:
+                        raise ValueError(f"{file} has {source.size()} bytes, not {size}")
                     for at, content in records_in(source, size, begin, min(size, begin + split_bytes)):
                         fields, block = parse(content)
                         digest, length, kind = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"]), fields["warc-type"]

@@ -23,6 +23,34 @@ def test_cached_encoding_is_the_librarys(tokenizer, rows, slow_ids):
         assert [np.frombuffer(x, "<u4").tolist() for x in held.encode(texts)] == [slow_ids(t)[:-1] for t in texts]
 
 
+def test_pieces_of_any_kind_and_a_cache_that_is_often_full(tokenizer, slow_ids, monkeypatch):
+    from meterloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE", 512)
+    dice = np.random.default_rng(7)
+    parts = ["a", "Zé", "ß", "×", "x×", "中", "9", ",", ".", "'s", "don't", "-", "é", "ÿ", "½", "__", "q" * 70, "e\u0301", "🙂"]
+    texts = []
+    for _ in range(300):
+        words = ["".join(dice.choice(parts, dice.integers(1, 5))) + str(dice.choice(["", ",", ".", ".,"])) for _ in range(dice.integers(1, 400))]
+        texts.append("".join(w + str(dice.choice([" ", " ", " ", "\n"])) for w in words)[:-1])
+    held = TextEncoder(tokenizer, slots=1, pool=1)
+    assert [np.frombuffer(x, "<u4").tolist() for x in held.encode(texts)] == [slow_ids(t)[:-1] for t in texts]
+    held.cuts = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in held.encode(texts[:20])] == [slow_ids(t)[:-1] for t in texts[:20]]
+
+
+def test_another_split_pattern_is_not_cut(tokenizer, tmp_path):
+    import json
+
+    made = json.load(open(tokenizer))
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    held = TextEncoder(str(tmp_path / "t.json"))
+    assert not held.cuts
+    text = "one two, three.\nfour"
+    assert np.frombuffer(next(held.encode([text])), "<u4").tolist() == held.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(docs, rows, empty, tokenizer, slow_ids):
     got = sorted(tuple(r) for r in token_files.token_files(docs, tokenizer, files=3, frame_bytes=4096).collect())
     want, at = [], 0
@@ -158,3 +186,31 @@ def test_fm_index():
         for p, a, b in zip(phrases, lo, hi):
             want = [k for k in range(len(text) - len(p) + 1) if (text[k : k + len(p)] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    members = [warc.record(k, f"u{k}", b"payload %d " % k * 40, hashlib.sha256(b"payload %d " % k * 40).hexdigest(), None) for k in range(40)]
+    raw = b"".join(members)
+
+    def read(data, listed=None, split=700):
+        (tmp_path / "x.warc.gz").write_bytes(data)
+        files = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), listed or len(data))], "file string, bytes long")
+        return warc.read_warc(spark, files, str(tmp_path), split).count()
+
+    assert read(raw) == 40
+    at = len(b"".join(members[:20]))
+    cases = [(raw[:-30], None), (raw, len(raw) + 10)]
+    cases += [(raw[:place] + bytes([raw[place] ^ 0xFF]) + raw[place + 1 :], None) for place in (at, at + 30, at + len(members[20]) // 2)]
+    cases += [(raw[: at + 50] + raw[at + 60 :], None)]
+    for data, listed in cases:
+        for split in (700, 1 << 20):
+            with pytest.raises(Exception):
+                read(data, listed, split)
+
+
+def test_a_second_attempt_leaves_nothing_that_is_read(spark, docs, tokenizer, tmp_path):
+    manifest = token_files.write_token_files(docs, str(tmp_path), tokenizer, files=3)
+    name = manifest.first().file
+    (tmp_path / (name.rsplit("/", 1)[1] + ".other.ids")).write_bytes(b"half a file")
+    assert token_files.read_token_files(spark, manifest, str(tmp_path)).count() == docs.count()
+    assert len({r.file for r in manifest.collect()}) == manifest.count()
