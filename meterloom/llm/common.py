@@ -66,7 +66,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` made and that nothing reads any more: what came of them has been cut from them."""
+    for kept in tables:
+        context = kept.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(kept._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -65,18 +65,20 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 _OP1 = f"""
-with a as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
-b as (select doc_id, raw, list_transform(raw, lambda r: trim(regexp_replace(lower(r), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) as norm from a where text is not null),
-c as (select doc_id, i as line, norm[i] as m, case when i > 1 then norm[i - 1] else '' end as p, case when i < len(norm) then norm[i + 1] else '' end as f from (select doc_id, norm, unnest(range(1, len(norm) + 1)) as i from b)),
-d as (select *, case when m = '' then 0 else len(string_split(m, ' ')) end as n, case when p = '' then 0 else len(string_split(p, ' ')) end as np, case when f = '' then 0 else len(string_split(f, ' ')) end as nf from c),
-u as (select doc_id, line, 0 as kind, m as g from d where n >= {substring_dedup.LEAST_WORDS}
-  union all select doc_id, line, 1, p || chr(10) || m from d where n > 0 and n < {substring_dedup.LEAST_WORDS} and np > 0 and n + np >= {substring_dedup.LEAST_WORDS}
-  union all select doc_id, line, 2, m || chr(10) || f from d where n > 0 and n < {substring_dedup.LEAST_WORDS} and nf > 0 and n + nf >= {substring_dedup.LEAST_WORDS}),
-r as (select doc_id, line, row_number() over (partition by kind, g order by doc_id, line) as k from u),
-gone as (select doc_id, list(distinct line) as lines from r where k > 1 group by 1),
-flat as (select a.doc_id, a.raw, a.text, coalesce(lines, []) as lines from a left join gone using (doc_id)),
-places as (select doc_id, i, raw[i] as piece, list_contains(lines, i) as out, coalesce(sum(length(raw[i]) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from (select *, unnest(range(1, len(raw) + 1)) as i from flat))
-select doc_id, string_agg(piece, chr(10) order by i) filter (not out) as kept, count(*) filter (out) as n_removed, coalesce(string_agg(cast(pos as bigint) || ':' || cast(pos + length(piece) as bigint), ',' order by i) filter (out), '') as removed from places group by doc_id"""
+with a as (select doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+') as raw from documents where text is not null),
+b as (select doc_id, text, raw, list_transform(raw, lambda r: regexp_replace(translate(trim(r, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\\[-`{{-~]', '', 'g')) as w from a),
+p as (select doc_id, k, array_to_string(w[k : k + {substring_dedup.LEAST_WORDS} - 1], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - {substring_dedup.LEAST_WORDS} + 2)) as k from b)),
+r as (select doc_id, k, row_number() over (partition by g order by doc_id, k) as n from p),
+gone as (select distinct doc_id, unnest(range(k, k + {substring_dedup.LEAST_WORDS})) as i from r where n > 1),
+x as (select doc_id, raw[i] as piece, length(regexp_extract(raw[i], '^[\\x20\\x09-\\x0D]*')) as gap, i from (select doc_id, raw, unnest(range(1, len(raw) + 1)) as i from b)),
+y as (select x.*, gone.i is not null as out, sum(length(piece)) over (partition by doc_id order by x.i) as stop from x left join gone using (doc_id, i)),
+z as (select *, out and not coalesce(lag(out) over (partition by doc_id order by i), false) as opens, out and not coalesce(lead(out) over (partition by doc_id order by i), false) as closes from y),
+s as (select *, sum(cast(opens as int)) over (partition by doc_id order by i) as run from z),
+spans as (select doc_id, run, cast(min(stop - length(piece) + gap) as bigint) as a, cast(max(stop) as bigint) as b from s where out group by 1, 2),
+t as (select doc_id, count(*) as n_removed, string_agg(a || ':' || b, ',' order by a) as removed from spans group by 1),
+kept as (select doc_id, string_agg(case when not out then piece when opens then left(piece, gap) else '' end, '' order by i) as kept, max(stop) as stop from s group by 1)
+select documents.doc_id, case when t.doc_id is null then text else kept || substr(text, cast(stop as bigint) + 1) end as text, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed
+from documents left join t using (doc_id) left join kept using (doc_id)"""
 
 _OP8 = f"""
 with p as (select page_id, coalesce(html, '') as h from pages),
@@ -98,5 +100,4 @@ from d left join words using (doc_id) left join items using (doc_id)"""
 
 def oracle_sql():
     """SQL of the operators that it can express."""
-    op1 = f"select doc_id, case when documents.text is null then null else coalesce(kept, '') end as text, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed from documents left join ({_OP1}) using (doc_id)"
-    return {"op1_substring_dedup": op1, "op8_warc_round_trip": _OP8, "op9_decontaminate": _OP9}
+    return {"op1_substring_dedup": _OP1, "op8_warc_round_trip": _OP8, "op9_decontaminate": _OP9}

@@ -144,46 +144,69 @@ def test_edited_lines_of_ordinary_length_are_all_found(spark):
     assert {r.d for r in line_dedup.removed_lines(docs).collect()} == {k for k, root in roots.items() if k != root}
 
 
-def slow_units(rows, least=10):
-    """Units as the docstring has them, by plain loops."""
-    seen, out = {}, {}
-    norm = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
-    units = []
+def slow_passages(rows, least):
+    """Texts by word loops: ``{(doc_id, text): (kept, number of runs, spans)}``."""
+    seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t in rows if t is not None}):
-        lines = [norm(x) for x in t.split("\n")]
-        n = [len(x.split()) for x in lines]
-        for k, x in enumerate(lines):
-            if n[k] >= least:
-                units.append(((0, x), i, t, k))
-            elif n[k]:
-                if k and n[k - 1] and n[k - 1] + n[k] >= least:
-                    units.append(((1, lines[k - 1] + "\n" + x), i, t, k))
-                if k + 1 < len(lines) and n[k + 1] and n[k + 1] + n[k] >= least:
-                    units.append(((2, x + "\n" + lines[k + 1]), i, t, k))
-    for u, i, t, k in units:
-        seen.setdefault(u, []).append((i, k, t))
-    for places in seen.values():
-        for i, k, t in sorted(places)[1:]:
-            out.setdefault((i, t), set()).add(k)
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+        norm = [re.sub(r"[!-/:-@\[-`{-~]", "", "".join(c.lower() if c < "\x80" else c for c in m[0])) for m in words]
+        gone = set()
+        for k in range(len(norm) - least + 1):
+            passage = tuple(norm[k : k + least])
+            gone |= set(range(k, k + least)) if passage in seen else set()
+            seen.add(passage)
+        runs = []
+        for k in sorted(gone):
+            if runs and runs[-1][1] == k - 1:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        spans = [(words[a].start(), words[b].end()) for a, b in runs]
+        kept = "".join(c for n, c in enumerate(t) if not any(a <= n < b for a, b in spans))
+        out[i, t] = (kept, len(spans), ",".join(f"{a}:{b}" for a, b in spans))
     return out
 
 
+def passages_of(docs, rows, least):
+    want = slow_passages(rows, least)
+    got = sorted(((r.doc_id, r.text, r.n_removed, r._removed if "_removed" in r else r.removed) for r in substring_dedup.dedup_substrings(docs, least).collect()), key=repr)
+    assert got == sorted(((i, *(want[i, t] if t is not None else (None, 0, ""))) for i, t in rows), key=repr)
+
+
 def test_substring_dedup(docs, rows, empty):
-    gone = slow_units(rows)
-    for r in substring_dedup.dedup_substrings(docs).collect():
-        match = next(t for i, t in rows if i == r.doc_id and (t is None) == (r.text is None) and (t is None or set((r.text or "").split("\n")) <= set(t.split("\n")) | {""}))
-        lines = (match or "").split("\n")
-        out = gone.get((r.doc_id, match), set())
-        if match is not None:
-            assert r.text == "\n".join(x for k, x in enumerate(lines) if k not in out)
-            starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
-            assert r._removed == ",".join(f"{starts[k]}:{starts[k] + len(lines[k])}" for k in sorted(out))
-        assert r.n_removed == len(out)
+    for least in (50, 12, 2):
+        passages_of(docs, rows, least)
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
-def test_a_passage_of_several_lines_goes_as_a_whole(spark):
-    passage = "A short head\nthen a much longer line of the passage with many words in it\nand a tail"
-    texts = [(1, f"own first line of this text\n{passage}\nclosing words"), (2, f"something else at the start\n{passage}\nother end"), (3, "A short head\nof another kind")]
-    got = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == {1: texts[0][1], 2: "something else at the start\nother end", 3: texts[2][1]}
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    """Passages of 50 words and more within lines, over other line breaks, in other cases, at both ends, twice in one text; 49 words stay."""
+    import random
+
+    dice = random.Random(21)
+    words = lambda n: [f"w{dice.randint(0, 10**6)}" for _ in range(n)]
+    passages = {n: words(n) for n in (49, 50, 51, 55, 80, 300)}
+    docs, holders = [(0, " ".join(words(400)))], {}
+    for n, passage in passages.items():
+        for k in range(6):
+            before, after, i = words(dice.choice([0, 3, 200])), words(dice.choice([0, 5, 100])), len(docs)
+            shown = [dice.choice([x, x.upper(), x + ",", f"({x})"]) for x in passage] if k % 2 else passage
+            text = "".join(x + dice.choice([" "] * 9 + ["\n", "\n\n"]) for x in [*before, *shown, *after])[:-1]
+            docs.append((i, text))
+            if k and n >= 50:
+                holders[i] = n
+    twice = words(60)
+    docs.append((900, " ".join([*twice, *words(7), *twice])))
+    docs += [(1000 + k, " ".join(words(dice.randint(1, 300)))) for k in range(40)]
+    docs += [(5000 + k, docs[5][1]) for k in range(20)]  # many copies
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    passages_of(df, docs, 50)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(df).collect()}
+    assert {i for i, n in got.items() if n} == {*holders, 900, *range(5000, 5020)}
+
+
+def test_equal_texts_of_one_and_of_several_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, text), (7, text), (3, text), (None, text), (None, "few words"), (9, "few words")]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text, r.removed) for r in got) == sorted([("None", text, ""), ("None", "few words", ""), ("9", "few words", "")] + [(i, "", f"0:{len(text)}") for i in "773"])
