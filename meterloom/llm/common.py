@@ -79,6 +79,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``d, t`` (doc_id and hash of the text) of ``kept``, which is durable and has no repeated rows.
+
+    Of rows that repeat both, that of the least JSON hash stays.
+    """
+    names = docs.columns
+    row, d, t, n = (fresh(names, x) for x in ("row0", "d0", "t0", "n0"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col("doc_id").alias(d), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(t))
+    same = lambda other: rows[d].eqNullSafe(other["d"]) & (rows[t] == other["t"])
+    kept = kept.select("d", "t")
+    repeated = durable(rows.groupBy(d, t).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(F.col(d).alias("d"), F.col(t).alias("t")))
+    single = rows.join(kept, same(kept), "left_semi")
+    if not repeated.isEmpty():
+        many = single.join(repeated, same(repeated), "left_semi")
+        single = single.join(repeated, same(repeated), "left_anti").select(row)
+        many = many.groupBy(d, t).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(row)).select(row)
+        single = single.unionByName(many)
+    return single.select(*[F.col(row).getField(c).alias(c) for c in names])
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers (once a session), wherever the driver imported it from."""
     context = spark.sparkContext

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, python_ready
+from .common import durable, fresh, python_ready
 from .fm_index import FMIndex
 
 #: Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z; in UTF-8 every byte from 0x80 on belongs to one.
@@ -199,7 +199,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without those that hold a test item's window. A null doc_id is kept, since nothing names it."""
-    found = durable(find_contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti").select(docs.columns)
+    """``docs`` without the rows whose text holds a test item's window, whatever their doc_id."""
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    name = fresh(docs.columns, "t0")
+    found = find_contamination(docs.select(text.alias("doc_id"), "text"), benchmark, window)
+    found = durable(found.where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(found, text == found[name], "left_anti").select(docs.columns)
 

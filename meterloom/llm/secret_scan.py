@@ -4,14 +4,14 @@ Places come without a UDF: splitting a text at a pattern gives the pieces
 between the matches, and their lengths and those of the matches add up to the
 starts (in code points).
 
-The method adds spans: a candidate is a run of ``[A-Za-z0-9+/_=-]`` of at least a
-window's length.  For each character class (hexadecimal, letters and digits,
+The method adds spans: a candidate is a run of ``[A-Za-z0-9+/_-]`` of at least a
+window's length, with its padding of up to two ``=`` (so a name before ``=`` is no part of it).  For each character class (hexadecimal, letters and digits,
 base64) that the whole run belongs to, a window slides over it; the counts of
 its characters, and the sum of count * log2(count) from which its Shannon
 entropy follows, are updated by the character that enters and the one that
 leaves.  The windows above the class's threshold make a span from the first's start
-to the last's end, unless an allow-list pattern finds its text or a fixed pattern
-has reported part of it.
+to the last's end, unless an allow-list pattern fits the candidate, an allowed word
+stands in the span, or a fixed pattern has reported part of it.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ BASE = (
 KINDS = [kind for kind, *_ in BASE] + ["entropy"]
 #: Character classes of candidates: name, whole-run pattern, least entropy in bits of a window.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[0-9A-Za-z]+$", 3.7), ("base64", r"^[0-9A-Za-z+/_=-]+$", 3.9))
-CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WINDOW = 20
-#: Well-known strings that look random but aren't secret.
+#: Words that mark a span as no secret.
+ALLOW_WORDS = r"(?i)example|sample|placeholder"
+#: Candidates that look random but aren't secret.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
-    r"(?i)example|sample|placeholder",
     r"^[A-Za-z/_=+-]+$",  # no digit: words, paths, rules of characters
     r"^[0-9=_+/-]+$",  # no letter: numbers, dates
     r"^(sha256|sha384|sha512)-",  # integrity digests
@@ -112,9 +113,10 @@ def entropy_spans(text: Column, window: int = WINDOW, classes=CLASSES, allow=ALL
         found = F.lit(None)
         for _, whole, least in reversed(classes):
             found = F.when(F.regexp_like(x["run"], F.lit(whole)), window_range(x["run"], least, window)).otherwise(found)
-        return F.struct(x["s"]["start"].alias("at"), found.alias("w"))
+        return F.struct(x["s"]["start"].alias("at"), x["run"].alias("run"), found.alias("w"))
 
-    hit = F.filter(F.transform(suspect, one), lambda x: x["w"]["first"] >= 0)
+    span = lambda x: F.substring(x["run"], x["w"]["first"] + 1, x["w"]["last"] - x["w"]["first"])
+    hit = F.filter(F.transform(suspect, one), lambda x: (x["w"]["first"] >= 0) & ~F.regexp_like(span(x), F.lit(ALLOW_WORDS)))
     spans = F.transform(hit, lambda x: _span(x["at"] + x["w"]["first"], len(BASE), x["at"] + x["w"]["last"]))
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPANS))
 

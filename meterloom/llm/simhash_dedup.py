@@ -3,9 +3,10 @@
 A 64-bit fingerprint is mapped to the bit counts (0, 1 or 2) of its 32 segments
 of two bits.  The Manhattan distance of two such vectors is a lower bound of the
 Hamming distance of the fingerprints.  The vectors are joined on a grid: their
-coordinates are dealt to ``max_bits + 2`` bands, so two vectors at a distance of
-``max_bits`` or less agree in at least two bands, and the cells are the unit
-cells of every pair of bands.  What shares a cell is compared under the
+coordinates are dealt to ``max_bits + k`` bands, so two vectors at a distance of
+``max_bits`` or less agree in at least ``k`` bands, and the cells are the unit
+cells of every ``k`` bands.  ``k`` follows from the number of fingerprints: more bands
+make more, but smaller cells, and whatever it is no link is lost.  What shares a cell is compared under the
 Manhattan bound and then verified exactly.
 
 Only distinct fingerprints are joined, so copies of a text cost one row.  A cell
@@ -17,12 +18,13 @@ all its pairs, and so loses no connection.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, own_exchange, python_ready
+from .common import durable, only, own_exchange, python_ready
 from .components import connected_components
 
 SEED = 42
@@ -71,10 +73,19 @@ def _embedding(fp: Column) -> Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _cells(max_bits: int) -> list[int]:
-    """Masks of the embedding's coordinates in each pair of bands, as signed longs."""
-    bands = np.array_split(np.arange(32), max_bits + 2)
-    masks = [sum(3 << (2 * int(s)) for pair in two for s in bands[pair]) for two in combinations(range(max_bits + 2), 2)]
+def agreeing_bands(fingerprints: int, max_bits: int) -> int:
+    """Bands that a cell is made of: those with the least work, a comparison being a hundredth of a row's.
+
+    A segment's counts are equal by chance in three of eight cases.
+    """
+    work = lambda k: comb(max_bits + k, k) * (1 + fingerprints * 0.375 ** (32 * k / (max_bits + k)) / 100)
+    return min(range(2, 9), key=work)
+
+
+def _cells(max_bits: int, agreeing: int = 2) -> list[int]:
+    """Masks of the embedding's coordinates in each choice of agreeing bands, as signed longs."""
+    bands = np.array_split(np.arange(32), max_bits + agreeing)
+    masks = [sum(3 << (2 * int(s)) for band in some for s in bands[band]) for some in combinations(range(max_bits + agreeing), agreeing)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -129,12 +140,12 @@ def links_in_groups(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[n
     return fp[linked].view(np.int64), fp[label[linked]].view(np.int64)
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, block: int = BLOCK, agreeing: int | None = None) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``fp``) that connect all that differ in ``max_bits`` or fewer."""
     spark = fps.sparkSession
     python_ready(spark)
     embedded = _embedding(F.col("fp"))
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), embedded.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_cells(max_bits))])).alias("x")).select("x.k", "x.cell", "fp")
+    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), embedded.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_cells(max_bits, agreeing or agreeing_bands(fps.count(), max_bits)))])).alias("x")).select("x.k", "x.cell", "fp")
     counts = keyed.groupBy("k", "cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block)
     own = F.pmod(F.xxhash64("fp", "k"), blocks)
@@ -198,9 +209,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each group (all rows with a null doc_id stay, as nothing names them)."""
-    found = simhash_components(docs, shingle, max_bits)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    name = fresh(docs.columns, "gone")
-    gone = durable(gone.withColumnRenamed("gone", name))
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti").select(docs.columns)
+    """One row of each group: that of the least doc_id (null last); of several texts with that doc_id, the one of the least hash.
+
+    So a row goes because of its own text, and of repeated rows one stays.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    prints = durable(fingerprints(texts, shingle).distinct().select(F.col("doc_id").alias("t"), "fp"))
+    groups = prints.join(_roots(prints, max_bits), "fp", "left").select("t", F.coalesce("root", "fp").alias("root"))
+    named = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t")).join(groups, "t")
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("unnamed"), "d", "t")).alias("least"))
+    return only(docs, durable(least.select("least.d", "least.t")))

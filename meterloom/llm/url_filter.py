@@ -115,7 +115,8 @@ def train(labelled: DataFrame, trees: int = 6, depth: int = 3, bins: int = 16, r
 
     Rows with a null url or label are left out.  At most ``max_labelled`` rows are
     used, those whose URLs have the least hashes, so the sample is the same
-    however the rows are dealt.
+    however the rows are dealt.  A suffix with fewer than 20 rows or with labels of
+    one kind only says nothing: it counts like an unknown one.
     """
     rows = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("double").alias("y"))
     rows = rows.orderBy(F.xxhash64("url"), "url", "y").limit(max_labelled)
@@ -127,7 +128,7 @@ def train(labelled: DataFrame, trees: int = 6, depth: int = 3, bins: int = 16, r
     if not n or positive in (0, n):
         return None
     prior = math.log(positive / (n - positive))
-    by_suffix = rows.groupBy(_suffix(F.col("host")).alias("s")).agg(F.sum("y").alias("b"), F.count("*").alias("n")).where("n >= 20").orderBy(F.desc("n"), "s").limit(256).collect()
+    by_suffix = rows.groupBy(_suffix(F.col("host")).alias("s")).agg(F.sum("y").alias("b"), F.count("*").alias("n")).where("n >= 20 and b > 0 and b < n").orderBy("s").collect()  # of the bounded sample: a twentieth of its rows at most
     strength = 20 * positive / n
     suffixes = tuple((r.s, math.log((r.b + strength) / (r.n - r.b + 20 - strength))) for r in by_suffix)
     features = _with_suffix({k: F.col(k) for k in base}, F.col("host"), suffixes, prior)
@@ -208,6 +209,22 @@ def _node(splits: dict, raw: dict, at: str = "") -> Column:
     return F.when(raw[name] <= edge, _node(splits, raw, at + "l")).otherwise(_node(splits, raw, at + "r"))
 
 
+def holdout_accuracy(labelled: DataFrame, **options) -> tuple[float, float] | None:
+    """Share of the labelled URLs of one half (by hash) that trees fitted to the other half judge rightly, and the share of its more frequent label.
+
+    None if the fitted half hasn't both labels.
+    """
+    halves = labelled.where("url is not null and blocked is not null").select("url", F.col("blocked").cast("int").alias("blocked"), F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2)).alias("half"))
+    halves = durable(halves)
+    model = train(halves.where("half = 0"), **options)
+    if model is None:
+        return None
+    host, path = host_and_path(F.col("url"))
+    scored = model.score(halves.where("half = 1").select("*", host.alias("host"), path.alias("path")), "odds")
+    right, blocked = scored.agg(F.avg(((F.col("odds") > 0) == (F.col("blocked") == 1)).cast("double")), F.avg("blocked")).first()
+    return right, max(blocked, 1 - blocked)
+
+
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, threshold: float = 0.5, **options) -> DataFrame:
     """A row for each page: ``page_id, host, path, rule, verdict`` and ``score``, the trees' log-odds of block.
 

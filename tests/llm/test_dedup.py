@@ -2,7 +2,7 @@ import re
 
 import xxhash
 
-from meterloom.llm import line_dedup, simhash_dedup, substring_dedup
+from meterloom.llm import line_dedup, shingle_dedup, simhash_dedup, substring_dedup
 from meterloom.llm.components import connected_components
 
 
@@ -58,10 +58,13 @@ def test_links_of_a_crowded_cell_are_whole(spark):
     centre = dice.getrandbits(64)
     fps = {centre} | {centre ^ sum(1 << b for b in dice.sample(range(64), dice.randint(1, 5))) for _ in range(400)} | {dice.getrandbits(64) for _ in range(50)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    links = simhash_dedup.fingerprint_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 4, block=16)
-    got = {r.node: r.root for r in connected_components(links).collect()}
     want = components({signed(f) for f in fps}, lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4)
-    assert {n: got.get(n, n) for n in want} == want
+    for agreeing in (None, 3, 4):
+        links = simhash_dedup.fingerprint_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 4, block=16, agreeing=agreeing)
+        got = {r.node: r.root for r in connected_components(links).collect()}
+        assert {n: got.get(n, n) for n in want} == want
+    bands = [simhash_dedup.agreeing_bands(10**n, 4) for n in range(3, 12)]
+    assert bands[0] == 2 and bands == sorted(bands) and bands[-1] > 4
 
 
 def test_one_document_of_each_group_stays(docs, rows):
@@ -70,6 +73,16 @@ def test_one_document_of_each_group_stays(docs, rows):
     assert simhash_dedup.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_go_for_their_own_text(spark):
+    """A doc_id with two texts, repeated rows, null ids."""
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, long, {"a": 1}), (2, long, {"a": 2}), (2, "a text of its own that nothing else has in it", {"a": 3}), (3, "said twice by one id and nobody else here", {"b": 1}), (3, "said twice by one id and nobody else here", {"b": 2}), (None, long, None), (None, "no id here but some words of its own to be told by", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row0 map<string,int>")
+    for kept in (simhash_dedup.one_of_each(docs), shingle_dedup.one_of_each(docs)):
+        assert kept.columns == docs.columns
+        assert sorted((str(r.doc_id), r.text[:6]) for r in kept.collect()) == sorted([("1", "w0 w1 "), ("2", "a text"), ("3", "said t"), ("None", "no id ")])
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -40,8 +40,8 @@ def test_contamination(spark, docs, rows, empty):
     for limits in ({}, {"block_phrases": 3}, {"shard_words": 50}):
         got = decontaminate.digest(decontaminate.find_contamination(docs, bench, **limits))
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-    clean = {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()}
-    assert clean == {i for i, *_, c in want} - {i for i, *_, c in want if c}
+    clean = sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect())
+    assert clean == sorted(i for i, *_, c in want if not c)  # by row: one text of an id may go and another stay
     assert decontaminate.find_contamination(empty, bench).count() == 0
     assert {r.n_hit for r in decontaminate.find_contamination(docs, bench.limit(0)).collect()} == {0}
 
@@ -129,10 +129,36 @@ def test_secrets(spark):
         r = got[k]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == n for s in spans) for n in range(3)], k
         assert r.base_sha256 == sha(",".join(f"{pats[n][0]}:{a}:{b}" for a, n, b in spans))
-    assert got[5].spans.startswith("entropy:") and "entropy" not in got[6].spans and got[7].spans == "" and got[9].spans == ""
+    assert got[5].spans.startswith("entropy:") and "entropy" not in got[6].spans and got[7].spans == "" and got[9].spans == "hex:0:200000"
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_planted_blobs_are_found_and_prose_is_not(spark, sf_dir):
+    """Random strings of several classes in prose, alone and after a name: recall, and no span in prose, words, paths, numbers, dates, UUIDs."""
+    dice = random.Random(14)
+    classes = {"hex": "0123456789ABCDEF", "alnum": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"}
+    prose = lambda n: " ".join("".join(dice.choice("aeioulnrst") for _ in range(dice.randint(1, 12))) for _ in range(n))
+    rows, spots = [], {}
+    for k in range(300):
+        name, letters = dice.choice(list(classes.items()))
+        blob = "".join(dice.choice(letters) for _ in range(dice.randint(36, 64)))
+        before = f"{prose(20)} {dice.choice(['', 'SESSION=', 'key_id=', 'url=https://h.example/?sig='])}"
+        rows.append((k, f"{before}{blob} {prose(5)}"))
+        spots[k] = (len(before), len(before) + len(blob))
+    clean = ["some-long-path/with/many/parts/of/words", "2024-01-02T03-04-05-2024-01-02", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaa1aaaaaaaaaaaaaaa", "0" * 80, "=" * 60, "my_example_key_Ab3dE5gH7jK9mN1pQ3sT"]
+    rows += [(1000 + k, f"{prose(10)} {x} {prose(10)}") for k, x in enumerate(clean)] + [(2000 + k, prose(200)) for k in range(50)]
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hits = 0
+    for r in found:
+        if r.doc_id < 1000:
+            a, b = spots[r.doc_id]
+            hits += any(x.start < b and a < x.stop for x in r.added)
+            assert all(a - 1 <= x.start and x.stop <= b for x in r.added), r.doc_id
+        else:
+            assert not r.added, rows[r.doc_id - 1000 if r.doc_id < 2000 else -1]
+    assert hits >= 0.97 * len(spots), hits
+
+
 def test_entropy_windows_by_brute_force(spark):
     dice = random.Random(6)
     runs = ["".join(dice.choice(secret_scan.ALPHABET[: dice.choice([3, 10, 62])]) for _ in range(dice.randint(8, 60))) for _ in range(60)]
@@ -176,3 +202,18 @@ def test_trees_learn_from_labelled_urls(spark):
     right = sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in got)
     assert right / len(got) > 0.95
     assert url_filter.train(train.where("blocked = 1")) is None
+    accuracy, base = url_filter.holdout_accuracy(df)
+    assert accuracy > 0.95 > base
+
+
+def test_a_suffix_with_one_kind_of_label_decides_nothing(spark):
+    """All labelled .org URLs are blocked, the rest are told by their parameters: an .org URL without parameters is judged like others."""
+    dice = random.Random(9)
+    rows = []
+    for i in range(2000):
+        spam = i % 2 == 0
+        query = "&".join(f"k{j}={dice.randint(0, 9)}" for j in range(4)) if spam else ""
+        rows.append((f"http://site{dice.randint(0, 99)}.{'org' if spam and i % 4 == 0 else dice.choice(['com', 'net'])}/p{dice.randint(0, 99)}?{query}", int(spam)))
+    df = spark.createDataFrame([(k, f"http://site{k}.org/p{k}?") for k in range(50)], "page_id long, url string")
+    got = url_filter.filter_urls(df, spark.createDataFrame(rows, "url string, blocked int"), rules=()).collect()
+    assert {r.verdict for r in got} == {"allow"}
