@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bucket_of, canonical_dimensions, hour_start
-from ..schema import ROLLUP_KEY
+from ..schema import CANONICAL_ORDER, ROLLUP_KEY
+
+
+def in_canonical_order(rows: DataFrame) -> DataFrame:
+    """Rows with a bucket, dealt by ranges of the canonical order within buckets: a hot account or bucket is spread over tasks, and files follow each other."""
+    order = ["bucket", *[F.expr(c) for c in CANONICAL_ORDER]]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def hourly_rollup(raw: DataFrame, *more: str) -> DataFrame:

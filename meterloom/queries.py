@@ -6,7 +6,11 @@ queries is 2024-01-15, both in UTC.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.expressions import bucket_of, canonical_dimensions, period_of
@@ -14,9 +18,9 @@ from .operators import audit, ingest, rollup
 from .plans.compiler import compile_plan, stitch
 from .plans.query import Filter, Metric, QueryPlan, Source
 from .plans.sql import parse_sql
-from .schema import CANONICAL_ORDER
 from .sources.export import flat_events
 from .sources.usage import events_as_usage, lineitem_as_usage
+from .store import UsageStore
 
 WATERMARK = 1_705_276_800_000
 JAN_1, JAN_8, JAN_22, FEB_1 = 1_704_067_200_000, 1_704_672_000_000, 1_705_881_600_000, 1_706_745_600_000
@@ -162,6 +166,37 @@ def q14(spark, sf_dir):
     return _whole(_sealed(spark, sf_dir, group_by=("day", "account_id"), metrics=(("quantity", Metric.SUM), ("events", Metric.EVENTS))))
 
 
+_stores: dict[tuple[str, str], UsageStore] = {}
+
+
+def sealed_store(spark, sf_dir) -> UsageStore:
+    """A store with all events, flushed, and sealed up to the watermark; made once a session in the folder that driver and executors share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://").removeprefix("file:")
+        store = UsageStore(spark, os.path.join(shared, f"usage-store-{uuid.uuid4().hex}"), flush_bytes=1 << 40)
+        store.ingest(events_as_usage(spark, sf_dir))
+        store.flush()
+        store.tick(WATERMARK + store.safety_lag_ms)
+        _stores[key] = store
+    return _stores[key]
+
+
+@_query("q70_stitched_from_store", _oracles["q11_stitched_usage"])
+def q70(spark, sf_dir):
+    return _whole(sealed_store(spark, sf_dir).query(QueryPlan(source=Source.ROLLUP, group_by=("account_id", "meter_id"), metrics=(*SUM_COUNT, ("events", Metric.EVENTS)))))
+
+
+@_query("q71_daily_from_store", _oracles["q14_daily_from_rollups"])
+def q71(spark, sf_dir):
+    return _whole(sealed_store(spark, sf_dir).query(QueryPlan(source=Source.ROLLUP, group_by=("day", "account_id"), metrics=(("quantity", Metric.SUM), ("events", Metric.EVENTS)))))
+
+
+@_query("q72_daily_raw_from_store", _with(f"select cast({_DAY} as varchar) as day, account_id, cast(sum(quantity) as bigint) as quantity from u group by 1, 2"))
+def q72(spark, sf_dir):
+    return _whole(sealed_store(spark, sf_dir).query(QueryPlan(group_by=("day", "account_id"), metrics=(("quantity", Metric.SUM),))))
+
+
 @_query("q15_by_hour", _with(f"select cast({_HOUR} as varchar) as hour_start_ms, cast(sum(quantity) as bigint) as quantity, count(*) as count from u group by 1"))
 def q15(spark, sf_dir):
     return _whole(_raw(spark, sf_dir, group_by=("hour_start_ms",), metrics=SUM_COUNT))
@@ -290,10 +325,12 @@ def q28_conflicts(spark, sf_dir):
     return ingest.conflicting_ids(_batch(events_as_usage(spark, sf_dir)))
 
 
-@_query("q30_canonical_order")
+@_query("q30_canonical_order", _with("select account_id, product_id, meter_id, coalesce(model_id, '') as model_id, timestamp_ms, row_number() over (partition by account_id order by product_id, meter_id, coalesce(model_id, ''), timestamp_ms) as place from u"))
 def q30(spark, sf_dir):
-    rows = rollup.with_bucket(events_as_usage(spark, sf_dir), 64)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", *[F.expr(c) for c in CANONICAL_ORDER])
+    """Where each row of an account stands in the order that segments are written in."""
+    rows = rollup.in_canonical_order(rollup.with_bucket(events_as_usage(spark, sf_dir), 64)).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("account_id").orderBy("at")).cast("long")
+    return rows.select("account_id", "product_id", "meter_id", F.coalesce("model_id", F.lit("")).alias("model_id"), "timestamp_ms", place.alias("place"))
 
 
 @_query("q31_segment_statistics", _with("select account_id, count(*) as row_count, min(timestamp_ms) as min_timestamp_ms, max(timestamp_ms) as max_timestamp_ms, array_to_string(list_sort(list_distinct(list(product_id))), ',') as products, array_to_string(list_sort(list_distinct(list(meter_id))), ',') as meters, coalesce(array_to_string(list_sort(list_distinct(list(model_id) filter (model_id is not null))), ','), '') as models, cast(sum(quantity) as bigint) as quantity_sum from u group by 1"))
@@ -303,9 +340,15 @@ def q31(spark, sf_dir):
     return _whole(stats.withColumns(lists), "quantity_sum").drop("min_account", "max_account").withColumnRenamed("segment", "account_id")
 
 
-@_query("q32_bucket_counts")
+@_query("q32_bucket_counts", _with("select count(distinct account_id) as accounts, count(*) as events, cast(0 as bigint) as split_accounts, true as in_range, true as balanced from u"))
 def q32(spark, sf_dir):
-    return events_as_usage(spark, sf_dir).groupBy(bucket_of(64).alias("bucket")).agg(F.count_distinct("account_id").alias("accounts"), F.count("*").alias("events"))
+    """Every account is in one bucket of the 64, nothing is lost, and no bucket holds more than four times its share of accounts (and ten)."""
+    by_account = events_as_usage(spark, sf_dir).groupBy("account_id", bucket_of(64).alias("bucket")).agg(F.count("*").alias("n"))
+    per_account = by_account.groupBy("account_id").agg(F.count("*").alias("buckets"), F.sum("n").alias("n"))
+    totals = per_account.agg(F.count("*").alias("accounts"), F.sum("n").alias("events"), F.count_if(F.col("buckets") > 1).alias("split_accounts"))
+    sizes = by_account.groupBy("bucket").agg(F.count("*").alias("held")).agg(F.max("held").alias("most"), F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    joined = totals.join(F.broadcast(sizes))  # one row each
+    return joined.select("accounts", "events", "split_accounts", ((F.col("low") >= 0) & (F.col("high") < 64)).alias("in_range"), (F.col("most") <= 10 + 4 * F.col("accounts") / 64).alias("balanced"))
 
 
 @_query("q40_export", _with("select event_id, kind, original as correction_original_event_id, case when original is not null then 'derived' end as correction_reason, account_id, subscription_id, product_id, meter_id, model_id, timestamp_ms, quantity, unit, source, concat('{\"k\":\"', k, '\"}') as dimensions_canonical, ingested_at_ms from u"))

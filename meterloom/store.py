@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, ClosedPeriod, DedupeIndex, Manifest, Replacement, SegmentMeta, prune
-from .functions.expressions import bucket_of
+from .functions.expressions import bucket_of, payload_hash
 from .operators import audit, ingest, rollup
 from .periods import period_bounds
 from .plans.compiler import compile_plan, in_range, stitch
 from .plans.query import MAX_MS, MIN_MS, Metric, QueryPlan, Source
 from .plans.sql import parse_sql
-from .schema import CANONICAL_ORDER, HOUR_MS, RAW_COLUMNS, RAW_SCHEMA, ROLLUP_SCHEMA
+from .schema import HOUR_MS, RAW_COLUMNS, RAW_SCHEMA, ROLLUP_SCHEMA
 
 _ROLLUP = ROLLUP_SCHEMA.fieldNames()
 _INDEX = "event_id string, payload_hash string, ingested_at_ms long"
@@ -51,6 +51,7 @@ class UsageStore:
         os.makedirs(root, exist_ok=True)
         self.catalog = Catalog(root, buckets)
         self._fast: list[DataFrame] = []
+        self._classified: list[str] = []
         self._staged_since: int | None = None
         self._recover()
 
@@ -70,6 +71,7 @@ class UsageStore:
 
     def _recover(self) -> None:
         """Whole staged batches are kept; what a crash left unfinished, or a flush has published, goes."""
+        shutil.rmtree(self._path("incoming"), ignore_errors=True)  # batches that no caller got an answer for
         named = {s.path for s in self.manifest.segments} | {p for r in self.manifest.replaced for p in r.paths}
         flushed = {os.path.basename(os.path.dirname(p)) for p in named}
         folder = self._path("staging")
@@ -180,7 +182,9 @@ class UsageStore:
                 classified.where("status = 'conflict'").select(*RAW_COLUMNS).write.mode("append").parquet(self._path("conflicts"))
         finally:
             shutil.rmtree(path, ignore_errors=True)
-            if not self._fast:
+            if self._fast:  # what is staged in the session reads it until the flush
+                self._classified.append(path + "-classified")
+            else:
                 shutil.rmtree(path + "-classified", ignore_errors=True)
         if sum(os.path.getsize(os.path.join(p, f)) for p in self._staged_paths() for f in os.listdir(p)) > self.flush_bytes:
             self.flush()
@@ -200,14 +204,18 @@ class UsageStore:
         self._staged_since = now_ms if self._staged_since is None else self._staged_since
 
     def conflicts(self) -> DataFrame:
+        """Conflicting events, each once, however often its batch was sent again."""
         path = self._path("conflicts")
-        return self.spark.read.schema(RAW_SCHEMA).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], RAW_SCHEMA)
+        if not os.path.isdir(path):
+            return self.spark.createDataFrame([], RAW_SCHEMA)
+        found = self.spark.read.schema(RAW_SCHEMA).parquet(path).withColumn("digest", payload_hash())
+        return found.groupBy("event_id", "digest").agg(F.min_by(F.struct(*RAW_COLUMNS), "ingested_at_ms").alias("first")).select("first.*")
 
     def _write_segments(self, events: DataFrame, folder: str, kind: str = "raw") -> list[SegmentMeta]:
         """One directory a bucket, rows in canonical order; the segments aren't visible until they are committed."""
         rows = rollup.with_bucket(events, self.manifest.bucket_count)
         path = self._path(kind, folder)
-        rows.repartition("bucket").sortWithinPartitions("bucket", *[F.expr(c) for c in CANONICAL_ORDER]).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        rollup.in_canonical_order(rows).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         written = self.spark.read.schema(_with_bucket()).parquet(path)
         return [
             SegmentMeta(f"{folder}-{r.bucket}", kind, r.bucket, os.path.join(path, f"bucket={r.bucket}"), r.row_count, r.min_timestamp_ms, r.max_timestamp_ms, r.min_account, r.max_account, tuple(r.products), tuple(r.meters), tuple(r.models), str(r.quantity_sum))
@@ -231,6 +239,9 @@ class UsageStore:
         for p in paths:
             shutil.rmtree(p)
         self._fast, self._staged_since = [], None
+        for p in self._classified:
+            shutil.rmtree(p, ignore_errors=True)
+        self._classified = []
         return len(made)
 
     # ---- rollups
@@ -275,7 +286,7 @@ class UsageStore:
         if done:
             sealed = self.spark.createDataFrame(sorted(done), "hour_start_ms long, bucket int")
             rows = rows.join(sealed, ["hour_start_ms", "bucket"], "left_anti")
-        rows.select(*_ROLLUP, "bucket").repartition("bucket").sortWithinPartitions("bucket", "hour_start_ms", "account_id").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        rows.select(*_ROLLUP, "bucket").repartitionByRange("bucket", "hour_start_ms", "account_id").sortWithinPartitions("bucket", "hour_start_ms", "account_id").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         lineage = {(r.hour_start_ms, r.bucket): tuple(r.inputs) for r in rollup.rollup_lineage(raw).collect()}
         written = self.spark.read.parquet(path)
         if not written.columns or "hour_start_ms" not in written.columns:
