@@ -11,7 +11,6 @@ import shutil
 import time
 import uuid
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,18 +104,17 @@ class UsageStore:
     def _segments(self, segments: list[SegmentMeta], schema, columns: list[str]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], schema).select(*[c for c in columns if not c.startswith("_metadata")])
-        # rollup segments of a tick share files, a segment for each hour: files with the same hours are read together
-        hours: dict[str, list[int]] = {}
-        for s in segments:
-            hours.setdefault(s.path, []).extend([] if s.hour_start_ms is None else [s.hour_start_ms])
-        groups: dict[tuple[int, ...], list[str]] = {}
-        for path, held in hours.items():
-            groups.setdefault(tuple(sorted(set(held))), []).append(path)
-        parts = []
-        for held, paths in groups.items():
-            df = self.spark.read.schema(schema).parquet(*paths)
-            parts.append((df.where(F.col("hour_start_ms").isin(list(held))) if held else df).select(*columns))
-        return reduce(DataFrame.unionByName, parts)
+        # rollup segments of a tick share files, a segment for each hour; hours are sealed and dropped for all buckets of a tick
+        # alike, so one scan of all files and the few hours of each tick's folder give the rows that the manifest names
+        paths = sorted({s.path for s in segments})
+        sealed = sorted({(os.path.basename(os.path.dirname(s.path)), s.hour_start_ms) for s in segments if s.hour_start_ms is not None})
+        df = self.spark.read.schema(schema).parquet(*paths)
+        if len({folder for folder, _ in sealed}) == 1:
+            df = df.where(F.col("hour_start_ms").isin([hour for _, hour in sealed]))
+        elif sealed:
+            named = self.spark.createDataFrame(sealed, "folder string, hour_start_ms long")
+            df = df.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)).join(F.broadcast(named), ["folder", "hour_start_ms"], "left_semi")
+        return df.select(*columns)
 
     def _buckets(self, accounts) -> dict[str, int] | None:
         if accounts is None:
