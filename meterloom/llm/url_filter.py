@@ -229,8 +229,9 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
     """A row for each page: ``page_id, host, path, rule, verdict`` and ``score``, the trees' log-odds of block.
 
     ``labelled`` has ``url, blocked``; by default the URLs that a rule decides are
-    the labelled ones.  Without both labels there are no trees, and what no rule
-    decides is allowed; null urls and those without a host are allowed too.
+    the labelled ones; since rules go by hosts, trees would then only learn the rules'
+    hosts anew, so a URL whose suffix hasn't labels of both kinds is left to no tree and allowed.  Without both labels there
+    are no trees, and what no rule decides is allowed; null urls and those without a host are allowed too.
     Repeated rows each get a row; other columns are ignored.
     """
     url = F.col("url").cast("string")
@@ -238,13 +239,15 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
     rows = pages.select("page_id", url.alias("url")).select("*", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), said.alias("said"))
-    if labelled is None:
+    derived = labelled is None
+    if derived:
         labelled = rows.where("said is not null").select("url", (F.col("said") == "block").cast("int").alias("blocked"))
     model = train(labelled, **options)
     rows = model.score(rows, "odds") if model else rows.withColumn("odds", F.lit(None).cast("double"))
     rows = rows.withColumn("score", F.when(F.col("host") != "", F.col("odds")))
     cut = math.log(threshold / (1 - threshold))
-    judged = F.when(F.col("score") > cut, F.lit("block")).otherwise(F.lit("allow"))
+    told = F.lit(True) if not derived else _suffix(F.col("host")).isin([s for s, _ in model.suffixes] if model else [])
+    judged = F.when((F.col("score") > cut) & told, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("said", judged).alias("verdict"), "score")
 
 

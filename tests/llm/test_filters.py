@@ -206,6 +206,15 @@ def test_trees_learn_from_labelled_urls(spark):
     assert accuracy > 0.95 > base
 
 
+def test_labels_of_rules_decide_nothing_where_they_are_one_sided(spark, sf_dir):
+    """Rules only ever block .org: no undecided .org page is blocked for that."""
+    from pathlib import Path
+
+    pages = spark.read.parquet(f"{Path(sf_dir).parent / 'sf0.01'}/pages.parquet")
+    found = url_filter.filter_urls(pages).where("rule is null and host like '%org'").groupBy("verdict").count().collect()
+    assert {r.verdict for r in found} == {"allow"}
+
+
 def test_a_suffix_with_one_kind_of_label_decides_nothing(spark):
     """All labelled .org URLs are blocked, the rest are told by their parameters: an .org URL without parameters is judged like others."""
     dice = random.Random(9)
