@@ -1,11 +1,12 @@
-"""Groups of similar things that meet in cells, without all pairs of a cell.
-
-Things with a key in common are in one cell.  In a round every member of a cell is compared with
-the cell's hub, its least member; then what is in the hub's component by now leaves the cell, so
-that the next round has a hub of another component.  A round costs a
-comparison for each member, however crowded a cell is.  Cells of up to ``ROUNDS + 1``
-components are compared wholly; in those with more, members of different
-components may go uncompared, but what is similar shares other, less crowded cells as a rule.
+"""Groups of similar things that meet in cells, with no link of a cell lost.
+
+Things with a key in common are in one cell.  First every member of a cell is compared with
+the cell's hub, its least member, which costs a comparison for each member, however crowded a cell is, and joins
+nearly all that is similar.  Then members of a cell that are in different components still
+are compared with each other, all of them: a cell's largest component is set against the others, never against
+itself, so a large group of copies makes no pairs of its own.  Pairs are made of a
+few bytes a thing and bounded by them; a cell with many pairs is dealt to blocks.  So the groups are those
+that all pairs of all cells would give.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import discard, durable, own_exchange, release, stored
 from .components import connected_components
 
-ROUNDS = 3
+#: Pairs of a cell that a task may make, about.
+BLOCK_PAIRS = 1 << 21
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,12 +33,33 @@ def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.unionByName(links.join(roots, "node", "left_anti"))
 
 
-def connected_cells(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[str, str], Column], rounds: int = ROUNDS) -> DataFrame:
+def _across(held: DataFrame, roots: DataFrame, narrow: DataFrame, possible: Callable[[str, str], Column], block_pairs: int) -> DataFrame:
+    """Pairs ``a, b`` that share a cell, are in different components and may be similar."""
+    named = held.select("key", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = stored(named, "members")
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    cells = sizes.where("most < n").select("key", "main", F.ceil((F.col("n") - F.col("most")) * F.col("n") / block_pairs).alias("blocks"))
+    mixed = stored(named.join(cells.select(own_exchange("key"), "main", "blocks"), "key").join(narrow, "id"), "mixed-cells")
+    discard(named)
+
+    def side(x: str, rows: DataFrame, block: Column) -> DataFrame:
+        return rows.select("key", block.alias("block"), *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c not in ("key", "blocks")])
+
+    others = side("a", mixed.where("root <> main"), F.pmod(F.xxhash64("id"), F.col("blocks")))
+    each = side("b", mixed, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    once = (F.col("root_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
+    pairs = others.join(each, ["key", "block"]).where((F.col("root_a") != F.col("root_b")) & once & possible("_a", "_b"))
+    pairs = stored(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
+    discard(mixed)
+    return pairs
+
+
+def connected_cells(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[str, str], Column], narrow: tuple[str, ...], possible: Callable[[str, str], Column], block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """``node, root`` for every id of a group of two or more.
 
     ``keyed`` is a table of ``key, id`` (longs) without repeated rows.  ``fetch`` gives, for a table
     of distinct ``id``, what is compared, a row for each id.  ``similar`` is a condition on two such rows whose
-    columns have the suffixes ``_a`` and ``_b``.
+    columns have the suffixes ``_a`` and ``_b``; ``possible`` is one on their ``narrow`` columns alone that holds for all that is similar.
     """
     spark = keyed.sparkSession
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub <> most")
@@ -51,29 +74,15 @@ def connected_cells(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], s
     def side(x: str) -> DataFrame:
         return things.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in things.columns])
 
-    roots = None
-    for k in range(rounds):
-        pairs = held.where("id <> hub")
-        if k:
-            pairs = pairs.where("root <> hub_root")
-        pairs = stored(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    def links(pairs: DataFrame) -> DataFrame:
         found = durable(pairs.join(side("a"), "a").join(side("b"), "b").where(similar("_a", "_b")).select("a", "b"))
         discard(pairs)
-        if roots is None:
-            roots = durable(connected_components(found))
-        elif not found.isEmpty():
-            roots = durable(_joined(roots, found))
-        if k + 1 == rounds:
-            break
-        named = held.select("key", "id", "hub").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        named = named.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").where(F.col("root") != F.coalesce("hub_root", "hub"))
-        rest = stored(named.select("key", "id", "root"), "rest")
-        least = rest.groupBy("key").agg(F.min(F.struct("id", "root")).alias("least"), F.max("root").alias("hi"), F.min("root").alias("lo")).where("lo <> hi")
-        least = stored(least.select("key", F.col("least.id").alias("hub"), F.col("least.root").alias("hub_root")), "hubs")
-        left = stored(rest.join(least.select(own_exchange("key"), "hub", "hub_root"), "key"), "members")
-        discard(held, rest, least)
-        held = left
-        if held.isEmpty():
-            break
+        return found
+
+    pairs = held.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    roots = durable(connected_components(links(stored(pairs, "pairs"))))
+    found = links(_across(held, roots, things.select("id", *narrow), possible, block_pairs))
+    if not found.isEmpty():
+        roots = durable(_joined(roots, found))
     discard(held, things)
     return roots

@@ -61,8 +61,18 @@ def _keys(words: Column, similarity: float) -> Column:
 
 
 def _coded(words: Column) -> Column:
-    """Two bytes a word."""
-    return F.unhex(F.array_join(F.transform(words, lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(_CODES)) + _FIRST)), ""))
+    """A number for each word, the code point of a character that stands for it."""
+    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(_CODES)) + _FIRST).cast("int"))
+
+
+def _text_of(codes: Column) -> Column:
+    """The characters, in a string."""
+    return F.decode(F.unhex(F.array_join(F.transform(codes, F.hex), "")), "UTF-16BE")
+
+
+def _marks(codes: Column) -> Column:
+    """64 bits, of which a word sets one: an edit puts out one at most."""
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)))))
 
 
 def _edits(longer: Column, similarity: float) -> Column:
@@ -70,36 +80,36 @@ def _edits(longer: Column, similarity: float) -> Column:
     return F.floor(longer * (1 - similarity) + 1e-9).cast("int")
 
 
-def _similar(a: Column, b: Column, similarity: float) -> Column:
-    """Edit similarity of two codes: 1 - distance / length of the longer, at least ``similarity``."""
-    most = _edits(F.greatest(F.octet_length(a), F.octet_length(b)) / 2, similarity)
-    text = lambda c: F.decode(c, "UTF-16BE")
-    return F.call_function("levenshtein", text(a), text(b), most) >= 0  # -1 beyond the bound
-
-
 def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Connected groups of similar lines: ``node, root`` for every line of a group of two or more.
 
-    ``lines`` is stored and has ``id, code, keys``.
+    ``lines`` is stored and has ``id, codes, keys``.
     """
     distinct = stored(lines.groupBy("id").agg(F.first("keys").alias("keys")), "distinct-lines")
 
-    def codes(wanted: DataFrame) -> DataFrame:
+    def things(wanted: DataFrame) -> DataFrame:
         discard(distinct)
-        return lines.select("id", "code").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        found = lines.select("id", "codes").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        return found.select("id", _text_of(F.col("codes")).alias("code"), F.size("codes").alias("n"), _marks(F.col("codes")).alias("marks"))
+
+    def possible(a: str, b: str) -> Column:
+        n, marks = ([F.col(f"{c}{x}") for x in (a, b)] for c in ("n", "marks"))
+        most = _edits(F.greatest(*n), similarity)
+        out = [F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in (marks, marks[::-1])]
+        return (F.abs(n[0] - n[1]) <= most) & (out[0] <= most) & (out[1] <= most)
 
     def similar(a: str, b: str) -> Column:
-        n = [F.octet_length(f"code{x}") / 2 for x in (a, b)]
-        return (F.abs(n[0] - n[1]) <= _edits(F.greatest(*n), similarity)) & _similar(F.col(f"code{a}"), F.col(f"code{b}"), similarity)
+        most = _edits(F.greatest(f"n{a}", f"n{b}"), similarity)
+        return possible(a, b) & (F.call_function("levenshtein", F.col(f"code{a}"), F.col(f"code{b}"), most) >= 0)  # -1 beyond the bound
 
     keyed = distinct.select("id", F.explode("keys").alias("key"))
-    return connected_cells(keyed.select("key", "id"), codes, similar)
+    return connected_cells(keyed.select("key", "id"), things, similar, ("n", "marks"), possible)
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Lines that repeat an earlier one, exactly or nearly: ``d, t, removed`` (line numbers, ascending)."""
     lines = line_rows(docs, least_words)
-    lines = stored(lines.select("d", "t", "line", "id", "check", _coded(F.col("w")).alias("code"), _keys(F.col("w"), similarity).alias("keys")), "lines")
+    lines = stored(lines.select("d", "t", "line", "id", "check", _coded(F.col("w")).alias("codes"), _keys(F.col("w"), similarity).alias("keys")), "lines")
     roots = line_groups(lines, similarity)
     distinct = lines.groupBy("id", "check").agg(F.min(F.struct("d", "t", "line")).alias("first"), F.count("*").alias("n"))
     grouped = stored(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "check", "first", "n", "root"), "grouped-lines")

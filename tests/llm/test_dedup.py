@@ -1,8 +1,10 @@
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from meterloom.llm import line_dedup, shingle_dedup, simhash_dedup, substring_dedup
+from meterloom.llm.cells import connected_cells
 from meterloom.llm.components import connected_components
 
 
@@ -195,6 +197,33 @@ def test_edited_lines_of_ordinary_length_are_all_found(spark):
     assert {r.d for r in line_dedup.removed_lines(docs).collect()} == {k for k, root in roots.items() if k != root}
 
 
+def test_no_link_of_a_crowded_cell_is_lost(spark):
+    """Pairs of lines that share one key only, with all others: each is found, in one block of a cell or in many."""
+    first = "extraordinarily internationalization"
+    lines = [f"{first} {'abcdefgh'[k % 8] * 12}{k // 2}{side * 3} y{k // 2} z{k // 2}" for k in range(80) for side in "pq" if (k % 2 == 0) == (side == "p")]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.d for r in line_dedup.removed_lines(docs).collect()} == set(range(1, 80, 2))
+
+
+def test_cells_give_the_groups_of_all_pairs(spark):
+    """Things in cells of up to 150, similar if near: one large group, chains, and things of no group; blocks of 50 pairs and of many."""
+    import random
+
+    dice = random.Random(4)
+    value = {k: dice.choice([dice.randint(0, 30), dice.randint(1000, 3000)]) for k in range(300)}
+    cells = {(c, k) for c, n in enumerate([150, 90, 40, 5, 2, 1]) for k in dice.sample(sorted(value), n)}
+    keyed = spark.createDataFrame(sorted(cells), "key long, id long")
+    things = spark.createDataFrame(sorted(value.items()), "id long, v long")
+    near = lambda a, b: F.abs(F.col(f"v{a}") - F.col(f"v{b}")) <= 2
+    held = {}
+    for c, k in cells:
+        held.setdefault(k, set()).add(c)
+    want = components(set(held), lambda a, b: bool(held[a] & held[b]) and abs(value[a] - value[b]) <= 2)
+    for block_pairs in (50, 1 << 20):
+        got = {r.node: r.root for r in connected_cells(keyed, lambda wanted: things.join(wanted, "id", "left_semi"), near, ("v",), near, block_pairs).collect()}
+        assert {k: got.get(k, k) for k in want} == want
+
+
 def slow_passages(rows, least):
     """Texts by word loops: ``{(doc_id, text): (kept, number of runs, spans)}``."""
     seen, out = set(), {}
