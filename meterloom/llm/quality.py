@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import durable, stored, word_array
 
 _LOG = logging.getLogger(__name__)
-#: Labelled documents used of a stratum, about, at most: those whose doc_ids have the least hashes.
-MAX_LABELLED = 20_000
 RISK, DELTA = 0.05, 0.05
 #: Quantiles of the proposing half's good documents at which cutoffs are tried.
 GRID = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.875, 0.9, 0.925, 0.95, 0.965, 0.98, 0.99, 0.995, 1.0)
@@ -112,18 +110,19 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>")), first, step, lambda s: s["sum"])
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def calibrate(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, max_labelled: int | None = None) -> DataFrame:
     """Cutoffs that stand: ``stratum, rule, cutoff``; a rule without one rejects nothing there.
 
     ``labels`` has ``doc_id, quality`` (1: good); rows with nulls in either are
-    left out.  The bounded sample of each stratum is what is fitted; rules then judge
-    all rows.  Strata in which no cutoff stands are logged.
+    left out.  All labelled rows are fitted to, unless ``max_labelled`` bounds those of each stratum (those whose
+    doc_ids have the least hashes, about); rules then judge all rows.  Strata in which no cutoff stands are logged.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumnRenamed("doc_id", "__id")
     ids = docs.select("doc_id", _stratum(docs, stratum)).join(chosen, F.col("doc_id") == F.col("__id")).select("__id", "stratum", "quality")
-    shares = ids.groupBy("stratum").agg(F.least(F.lit(1.0), F.lit(float(max_labelled)) / F.count("*")).alias("share")).withColumnRenamed("stratum", "__stratum")
-    ids = ids.join(shares, ids["stratum"] == shares["__stratum"]).where(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
-    ids = stored(ids.select("__id", "__stratum", "quality").distinct(), "label-ids")  # of a known size, so Spark broadcasts it if small
+    if max_labelled is not None:
+        shares = ids.groupBy("stratum").agg(F.least(F.lit(1.0), F.lit(float(max_labelled)) / F.count("*")).alias("share")).withColumnRenamed("stratum", "__of")
+        ids = ids.join(shares, ids["stratum"] == shares["__of"]).where(F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    ids = stored(ids.select("__id", F.col("stratum").alias("__stratum"), "quality").distinct(), "label-ids")  # of a known size, so Spark broadcasts it if small
     rows = docs.select(F.col("doc_id"), F.col("text"), _stratum(docs, stratum)).join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("stratum") == F.col("__stratum")))
     rows = text_statistics(rows.select("doc_id", "stratum", "quality", "text"))
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("double").alias("value")) for k, v in rule_values().items()])).alias("x")

@@ -99,6 +99,17 @@ def test_small_strata_get_cutoffs_too(spark, caplog):
     assert "['fr']" in caplog.text
 
 
+def test_cutoffs_come_from_all_labelled_documents(spark):
+    """More labels of one language than 20,000: none is left out unless a bound is asked for."""
+    ids = spark.range(0, 24_000, 1, 4).withColumnRenamed("id", "doc_id")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(51)), lambda k: F.hex(F.xxhash64("doc_id", k))), " ")
+    marks = F.pmod(F.xxhash64("doc_id"), F.lit(40)) + F.when(F.col("doc_id") % 4 == 0, 100).otherwise(0)
+    docs = ids.select("doc_id", F.concat(words, F.lit(" #"), F.repeat(F.lit("#"), marks.cast("int"))).alias("text"), F.lit("en").alias("lang"))
+    labels = ids.select("doc_id", (F.col("doc_id") % 4 > 0).cast("int").alias("quality"))
+    found = [sorted(tuple(r) for r in quality.calibrate(docs, labels, **options).collect()) for options in ({}, {"max_labelled": 24_000}, {"max_labelled": 20_000})]
+    assert found[0] and found[0] == found[1] != found[2]
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(0, 10, 0.1), (3, 50, 0.05), (20, 400, 0.08), (7, 7, 0.3)]
     df = spark.createDataFrame(cases, "k long, n long, p double")
