@@ -192,13 +192,14 @@ def simhash_components(docs: DataFrame, shingle: int = 5, max_bits: int = 4) ->
     each get a row; other columns are ignored; an empty table gives no rows.
     """
     prints = durable(fingerprints(docs, shingle))
-    roots = _roots(prints, max_bits)
+    roots = fingerprint_roots(prints, max_bits)
     ids = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return ids.join(least.select(own_exchange("root"), "component_id"), "root").select("doc_id", "fp", "component_id")
 
 
-def _roots(prints: DataFrame, max_bits: int) -> DataFrame:
+def fingerprint_roots(prints: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root`` of every fingerprint that is linked to another one."""
     distinct = durable(prints.select("fp").distinct())
     return connected_components(fingerprint_links(distinct, max_bits)).select(F.col("node").alias("fp"), "root")
 
@@ -216,7 +217,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFra
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
     prints = durable(fingerprints(texts, shingle).distinct().select(F.col("doc_id").alias("t"), "fp"))
-    groups = prints.join(_roots(prints, max_bits), "fp", "left").select("t", F.coalesce("root", "fp").alias("root"))
+    groups = prints.join(fingerprint_roots(prints, max_bits), "fp", "left").select("t", F.coalesce("root", "fp").alias("root"))
     named = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t")).join(groups, "t")
     least = named.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("unnamed"), "d", "t")).alias("least"))
     return only(docs, durable(least.select("least.d", "least.t")))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from meterloom.llm import shingle_dedup
 
 
 def test_stages(spark, sf_dir, tmp_path, tokenizer, slow_ids):
@@ -51,3 +52,14 @@ def test_near_dedup_takes_what_shingles_say(spark, sf_dir):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs.repartition(3), sf_dir).collect()}
     assert kept == set(root) and len(kept) < len(texts) - 20
+
+
+def test_near_dedup_goes_through_popcount_segments(spark, sf_dir, monkeypatch):
+    """Without any bands, copies of four or fewer bits are still found, and only similar ones."""
+    dice = random.Random(9)
+    long = [f"w{dice.randint(0, 4000)}" for _ in range(900)]
+    other = " ".join(f"v{dice.randint(0, 4000)}" for _ in range(300))
+    texts = [" ".join(long), " ".join([*long, "end"]), " ".join(["start", *long]), other, other.upper(), "few words", "", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(shingle_dedup, "bands", lambda hashes: [])
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == {0, 3, 5, 6}
