@@ -19,6 +19,8 @@ string of one character a word.  (Two different words have one code with a proba
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ KEYS = 8
 _CODES, _FIRST = 0xD800 - 0x3400, 0x3400
 #: A word's place in the order: its length in bytes (up to so many) above a hash of 48 bits, so that two can be added.
 _LONGEST = 1000
+_MARKS = ("marks0", "marks1", "marks2", "marks3")
+#: Words that split a crowded cell, one after another, at most.
+_LEVELS = 2
+#: One thing of so many tells how frequent codes are.
+_SAMPLED = 8
 
 
 def line_rows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -70,9 +77,11 @@ def _text_of(codes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(codes, F.hex), "")), "UTF-16BE")
 
 
-def _marks(codes: Column) -> Column:
-    """64 bits, of which a word sets one: an edit puts out one at most."""
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)))))
+def _marks(codes: Column) -> list[Column]:
+    """256 bits in longs, of which a word sets one: an edit puts out one at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)))
+    part = lambda k: F.filter(codes, lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == k)
+    return [F.aggregate(part(k), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(bit(c))).alias(mark) for k, mark in enumerate(_MARKS)]
 
 
 def _edits(longer: Column, similarity: float) -> Column:
@@ -80,37 +89,59 @@ def _edits(longer: Column, similarity: float) -> Column:
     return F.floor(longer * (1 - similarity) + 1e-9).cast("int")
 
 
-def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _rare_words(things: DataFrame, wanted: DataFrame, similarity: float, levels: int) -> DataFrame:
+    """``id, words, slack`` and narrow columns: a line's rarest words, a repeated one told by its number, as many as a similar line may lack and ``levels`` more.
+
+    Marks are of words with their numbers. The order is by counts of codes in a sample; any order gives the same groups.
+    """
+    each = F.explode(F.split("code", "")).alias("c")
+    counts = things.where(F.pmod(F.xxhash64("id"), F.lit(_SAMPLED)) == 0).select(each).groupBy("c").agg(F.count("*").alias("times"))
+    words = things.select("id", "code").join(wanted, "id", "left_semi").select("id", each).where("c <> ''").join(F.broadcast(counts), "c", "left")
+    place = F.coalesce("times", F.lit(0).cast("long")) * 0x10000 + F.ascii("c")
+    lines = words.groupBy("id").agg(F.sort_array(F.collect_list(place)).alias("all"))
+    number = lambda x, k: k + 1 - F.array_position("all", x)
+    lines = lines.select("id", F.transform("all", lambda x, k: F.xxhash64(x, number(x, k))).alias("all"))
+    n = F.size("all")
+    # the longer of two similar lines lacks so many of the other's words at most, and the shorter one no more
+    slack = _edits(n, similarity)
+    return lines.select("id", F.slice("all", F.lit(1), slack + levels).alias("words"), slack.alias("slack"), n.alias("n"), *_marks(F.col("all")))
+
+
+def line_groups(lines: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
     """Connected groups of similar lines: ``node, root`` for every line of a group of two or more.
 
-    ``lines`` is stored and has ``id, codes, keys``.
+    ``lines`` is stored and has ``id, codes, keys``, of lines of ``least_words`` words or more.
     """
     distinct = stored(lines.groupBy("id").agg(F.first("keys").alias("keys")), "distinct-lines")
 
     def things(wanted: DataFrame) -> DataFrame:
         discard(distinct)
         found = lines.select("id", "codes").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        return found.select("id", _text_of(F.col("codes")).alias("code"), F.size("codes").alias("n"), _marks(F.col("codes")).alias("marks"))
+        return found.select("id", _text_of(F.col("codes")).alias("code"), F.size("codes").alias("n"), *_marks(F.col("codes")))
 
     def possible(a: str, b: str) -> Column:
-        n, marks = ([F.col(f"{c}{x}") for x in (a, b)] for c in ("n", "marks"))
+        n, *marks = ([F.col(f"{c}{x}") for x in (a, b)] for c in ("n", *_MARKS))
         most = _edits(F.greatest(*n), similarity)
-        out = [F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in (marks, marks[::-1])]
-        return (F.abs(n[0] - n[1]) <= most) & (out[0] <= most) & (out[1] <= most)
+        # words that a line has and the other one lacks: the longer has those and the difference of lengths
+        out = [reduce(Column.__add__, [F.bit_count(pair[k].bitwiseAND(F.bitwise_not(pair[1 - k]))) for pair in marks]) for k in (0, 1)]
+        return (out[0] <= most - F.greatest(n[1] - n[0], F.lit(0))) & (out[1] <= most - F.greatest(n[0] - n[1], F.lit(0)))
 
     def similar(a: str, b: str) -> Column:
         most = _edits(F.greatest(f"n{a}", f"n{b}"), similarity)
         return possible(a, b) & (F.call_function("levenshtein", F.col(f"code{a}"), F.col(f"code{b}"), most) >= 0)  # -1 beyond the bound
 
     keyed = distinct.select("id", F.explode("keys").alias("key"))
-    return connected_cells(keyed.select("key", "id"), things, similar, ("n", "marks"), possible)
+    common = least_words - int(least_words * (1 - similarity) + 1e-9)  # words that similar lines share, at least
+    rare = lambda found, wanted: _rare_words(found, wanted, similarity, levels)
+    levels = min(_LEVELS, common)
+    return connected_cells(keyed.select("key", "id"), things, similar, ("n", *_MARKS), possible, finer=rare, levels=levels, rank="n")
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Lines that repeat an earlier one, exactly or nearly: ``d, t, removed`` (line numbers, ascending)."""
     lines = line_rows(docs, least_words)
     lines = stored(lines.select("d", "t", "line", "id", "check", _coded(F.col("w")).alias("codes"), _keys(F.col("w"), similarity).alias("keys")), "lines")
-    roots = line_groups(lines, similarity)
+    roots = line_groups(lines, similarity, least_words)
     distinct = lines.groupBy("id", "check").agg(F.min(F.struct("d", "t", "line")).alias("first"), F.count("*").alias("n"))
     grouped = stored(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "check", "first", "n", "root"), "grouped-lines")
     # a group's keeper is its earliest occurrence; lines of no group keep their own first

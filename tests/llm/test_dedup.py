@@ -3,7 +3,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from meterloom.llm import line_dedup, shingle_dedup, simhash_dedup, substring_dedup
+from meterloom.llm import cells, line_dedup, shingle_dedup, simhash_dedup, substring_dedup
 from meterloom.llm.cells import connected_cells
 from meterloom.llm.components import connected_components
 
@@ -205,6 +205,58 @@ def test_no_link_of_a_crowded_cell_is_lost(spark):
     assert {r.d for r in line_dedup.removed_lines(docs).collect()} == set(range(1, 80, 2))
 
 
+def test_crowded_cells_make_few_pairs_and_lose_none(spark, monkeypatch):
+    """Long lines with one common pair of words, some with a copy of 0.8: rows of pairs stay near the number of lines, whether cells are split or not."""
+    import functools
+    import random
+
+    dice = random.Random(31)
+    first = "extraordinarily internationalization"
+    lines = []
+    for k in range(240):
+        base = [f"w{dice.randint(0, 5000)}" for _ in range(98)]
+        lines.append(f"{first} {' '.join(base)}")
+        if k % 12 == 0:
+            copy = base[:]
+            for place in dice.sample(range(98), 20):
+                copy[place] = f"x{dice.randint(0, 5000)}"
+            lines.append(f"{first} {' '.join(copy)}")
+    want = {k for k, line in enumerate(lines) if " x" in line}
+    docs, made, store = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), [], cells.stored
+
+    def counted(df, label):
+        kept = store(df, label)
+        made.extend([kept.count()] if label == "pairs" else [])
+        return kept
+
+    monkeypatch.setattr(cells, "stored", counted)
+    for few in (512, 20):
+        made.clear()
+        monkeypatch.setattr(line_dedup, "connected_cells", functools.partial(connected_cells, few=few))
+        assert {r.d for r in line_dedup.removed_lines(docs).collect()} == want
+        assert sum(made) < 5 * len(lines), (few, made)
+
+
+def test_split_cells_give_the_groups_of_whole_cells(spark, monkeypatch):
+    """Lines of few words and of many, repeated words, chains: cells split at two members or more, by up to two words, lose nothing."""
+    import functools
+    import random
+
+    dice = random.Random(32)
+    lines = []
+    for n in (5, 6, 9, 15):
+        base = [f"w{dice.randint(0, 8)}" for _ in range(n)]
+        for _ in range(30):
+            copy = base[:]
+            for _ in range(dice.randint(0, n // 2)):
+                copy[dice.randrange(n)] = f"w{dice.randint(0, 8)}"
+            lines.append(copy[: dice.randint(5, n)])
+    roots = components(set(range(len(lines))), lambda a, b: 5 * edit(lines[a], lines[b]) <= max(len(lines[a]), len(lines[b])))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "connected_cells", functools.partial(connected_cells, few=1))
+    assert {r.d for r in line_dedup.removed_lines(docs).collect()} == {k for k, root in roots.items() if k != root}
+
+
 def test_cells_give_the_groups_of_all_pairs(spark):
     """Things in cells of up to 150, similar if near: one large group, chains, and things of no group; blocks of 50 pairs and of many."""
     import random
