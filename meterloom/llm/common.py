@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import re
@@ -13,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows for a byte of a file, for Spark's choice of what to broadcast.
+INFLATED = 16.0
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -42,6 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_broadcasts(spark: SparkSession, size: str = "256k") -> None:
+    """Let a broadcast reserve blocks of ``size`` on the driver's heap, unless the session names another size.
+
+    Every stage, scan and broadcast join sends a broadcast, mostly of a few KB, and reserves a whole block of 4 MB for each one. G1 keeps
+    those apart from all else, so hundreds of small jobs drive the heap to its limit, though little on it is in use.
+    """
+    conf = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf()
+    if not conf.contains("spark.broadcast.blockSize"):
+        conf.set("spark.broadcast.blockSize", size)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, empty path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -53,18 +67,41 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def _wary(spark: SparkSession):
+    """Spark takes a Parquet file's bytes for its rows' size; those of repeated keys and ascending ids are up to some 20 times as large once broadcast."""
+    key = "spark.sql.sources.fileCompressionFactor"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(float(before), INFLATED)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor takes nothing with it."""
-    shared_dir(df.sparkSession)
-    kept = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    """``df`` computed once and kept in the shared folder, so that a lost executor takes nothing with it.
+
+    Spark carries the estimated size over a checkpoint. A join multiplies the sizes of its sides, so the digits of that number double and more with
+    each round of a loop until it takes most of the driver's heap and time; here the size is unknown again.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    small_broadcasts(spark)
+    with _wary(spark):
+        kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().logical().rdd()
+    kept = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    release(spark)
     return kept
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder: a cut like ``durable``, for wide rows."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    small_broadcasts(df.sparkSession)
+    with _wary(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     release(df.sparkSession)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._scratch = path

@@ -342,3 +342,31 @@ def test_equal_texts_of_one_and_of_several_ids(spark):
     rows = [(7, text), (7, text), (3, text), (None, text), (None, "few words"), (9, "few words")]
     got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text, r.removed) for r in got) == sorted([("None", text, ""), ("None", "few words", ""), ("9", "few words", "")] + [(i, "", f"0:{len(text)}") for i in "773"])
+
+
+def _size(df):
+    """Spark's estimate of bytes, as text."""
+    return str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def test_cuts_carry_no_estimated_size(spark):
+    from meterloom.llm.common import durable
+
+    edges = durable(spark.range(20).selectExpr("id as u", "id div 2 as v"))
+    for _ in range(5):
+        edges = durable(edges.join(edges.selectExpr("u as v", "v as w"), "v").selectExpr("u", "w as v"))
+        assert len(_size(edges)) <= 20  # carried over, its digits double each round
+    assert sorted(map(tuple, edges.collect())) == [(k, 0) for k in range(20)]
+
+
+def test_small_files_of_many_rows_are_not_taken_for_small_tables(spark, tmp_path):
+    from meterloom.llm.common import _wary, small_broadcasts
+
+    spark.range(1 << 20).selectExpr("id div 1000 as key").coalesce(1).write.parquet(str(tmp_path / "keys"))
+    size = lambda: int(_size(spark.read.parquet(str(tmp_path / "keys"))))
+    before = size()
+    with _wary(spark):
+        assert size() >= 16 * before
+    assert size() == before
+    small_broadcasts(spark)
+    assert spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf().get("spark.broadcast.blockSize") == "256k"
