@@ -9,6 +9,8 @@ from ..functions.expressions import payload_hash, period_of
 from ..schema import KINDS, MAX_DIMENSIONS
 
 DEDUPE_TTL_MS = 7 * 86_400_000
+#: Repeated ids of a batch that are broadcast, at most; with more, all events are shuffled by their ids.
+FEW_IDS = 200_000
 
 
 def validate(events: DataFrame) -> DataFrame:
@@ -49,6 +51,23 @@ def dedupe_index(raw: DataFrame) -> DataFrame:
     return raw.select("event_id", payload_hash().alias("payload_hash"), "ingested_at_ms")
 
 
+def repeated_ids(batch: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``id_hash`` of ids that the batch holds several times, or that the index holds too; other events are new without a comparison.
+
+    Ids meet by 64-bit hashes, so nothing but those is shuffled; two ids of one hash are taken for repeated, which costs a comparison only.
+    """
+    ids = batch.select("event_id")
+    if index is not None:
+        ids = ids.unionByName(index.select("event_id").join(ids.distinct(), "event_id", "left_semi"))
+    counted = ids.groupBy(F.xxhash64("event_id").alias("id_hash")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("n > 1").select("id_hash")
+
+
+def with_ids(batch: DataFrame, hashes: DataFrame, held: bool) -> DataFrame:
+    """Events whose ids are among ``hashes``, which is small, or those whose ids aren't."""
+    return batch.join(F.broadcast(hashes), F.xxhash64("event_id") == hashes["id_hash"], "left_semi" if held else "left_anti")
+
+
 def classify(batch: DataFrame, index: DataFrame | None = None, now_ms: int | None = None, ttl_ms: int = DEDUPE_TTL_MS) -> DataFrame:
     """Adds ``status``: ``new``, ``duplicate`` or ``conflict``.
 

@@ -168,18 +168,26 @@ class UsageStore:
         try:
             checked = self.spark.read.parquet(path)
             valid = checked.where("reject_reason is null").drop("reject_reason")
-            index = self.dedupe_index(now_ms - ingest.DEDUPE_TTL_MS)
+            since_ms = now_ms - ingest.DEDUPE_TTL_MS
+            known = self._fast or self._staged_paths() or any(x.max_ingested_ms >= since_ms for x in self.manifest.indexes)
+            index = self.dedupe_index(since_ms).where(F.col("ingested_at_ms") >= since_ms) if known else None
+            several, once = self._by_repetition(valid, index, path + "-repeated")
             classified_path = path + "-classified"
-            ingest.classify(valid, index, now_ms).write.parquet(classified_path)
+            ingest.classify(several, index, now_ms).write.parquet(classified_path)
             classified = self.spark.read.parquet(classified_path)
             counts = {r.status: r["count"] for r in classified.groupBy("status").count().collect()}
+            new = classified.where("status = 'new'").select(*RAW_COLUMNS)
+            if once is not None:
+                counts["new"] = counts.get("new", 0) + once.count()
+                new = new.unionByName(once.select(*RAW_COLUMNS))
             rejected = checked.where("reject_reason is not null").count()
             if counts.get("new"):
-                self._stage(classified.where("status = 'new'").select(*RAW_COLUMNS), now_ms)
+                self._stage(new, now_ms)
             if counts.get("conflict"):
                 classified.where("status = 'conflict'").select(*RAW_COLUMNS).write.mode("append").parquet(self._path("conflicts"))
         finally:
             shutil.rmtree(path, ignore_errors=True)
+            shutil.rmtree(path + "-repeated", ignore_errors=True)
             if self._fast:  # what is staged in the session reads it until the flush
                 self._classified.append(path + "-classified")
             else:
@@ -188,6 +196,19 @@ class UsageStore:
             self.flush()
         return {"accepted": counts.get("new", 0), "duplicates": counts.get("duplicate", 0), "conflicts": counts.get("conflict", 0), "rejected": rejected}
 
+    def _by_repetition(self, valid: DataFrame, index: DataFrame | None, path: str) -> tuple[DataFrame, DataFrame | None]:
+        """Events to be classified, and those that are new as nothing else has their ids; these aren't shuffled or written for it.
+
+        All are classified if many ids are repeated, and in ``fast`` durability, where what is new is read from the classified table.
+        """
+        if self.durability == "fast":
+            return valid, None
+        ingest.repeated_ids(valid, index).write.parquet(path)
+        repeated = self.spark.read.schema("id_hash long").parquet(path)
+        if repeated.count() > ingest.FEW_IDS:
+            return valid, None
+        return ingest.with_ids(valid, repeated, True), ingest.with_ids(valid, repeated, False)
+
     def dedupe_index(self, since_ms: int) -> DataFrame:
         """Ids and digests of events ingested since then: the narrow tables of flushes that are recent enough, and what is staged."""
         paths = [x.path for x in self.manifest.indexes if x.max_ingested_ms >= since_ms]

@@ -231,3 +231,16 @@ def test_random_operations_against_a_model(spark, tmp_path):
     for account in "ab":
         assert total(store, Source.ROLLUP, account=account) == sum(q for a, q in model.values() if a == account)
     store.catalog.close()
+
+
+def test_ids_that_stand_alone_are_not_shuffled_for_classification(store, spark, monkeypatch):
+    from meterloom.operators import ingest
+
+    seen = []
+    classify = ingest.classify
+    monkeypatch.setattr(ingest, "classify", lambda batch, *more: seen.append(sorted(r.event_id for r in batch.collect())) or classify(batch, *more))
+    assert put(store, *[event(f"e{k}") for k in range(20)], event("e3"), event("e4", 9)) == {"accepted": 20, "duplicates": 1, "conflicts": 1, "rejected": 0}
+    assert put(store, event("e5"), event("e6", 2), event("n1"), event("n2")) == {"accepted": 2, "duplicates": 1, "conflicts": 1, "rejected": 0}
+    assert seen == [["e3", "e3", "e4", "e4"], ["e5", "e6"]] and total(store) == 22
+    monkeypatch.setattr(ingest, "FEW_IDS", 0)
+    assert put(store, event("n2"), event("n3"))["accepted"] == 1 and seen[-1] == ["n2", "n3"]
